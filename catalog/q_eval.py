@@ -68,7 +68,7 @@ def _(spark, sf):
     return evaluation.paired_gains(_station_scores(spark, sf), evaluation.claims_frame(spark, CLAIMS))
 
 
-@query("e09_claim_verdicts", "claim, verdict=CASE WHEN kind = 'penalty' THEN CASE WHEN folds_better = 0 AND (sd_gain IS NULL OR abs(mean_gain) > sd_gain) THEN 'real cost' WHEN folds - folds_better > folds / 2 THEN 'cost in the expected direction, within noise' ELSE 'no measurable cost' END "
+@query("e09_claim_verdicts", "claim, verdict=CASE WHEN kind = 'penalty' THEN CASE WHEN folds_better = 0 AND (sd_gain IS NULL OR abs(mean_gain) > sd_gain) THEN 'real cost' WHEN folds - folds_better > folds / 2 THEN 'cost in the expected direction; within noise' ELSE 'no measurable cost' END "
        "WHEN folds_better = folds AND (sd_gain IS NULL OR abs(mean_gain) > sd_gain) AND mean_gain > 0 THEN 'holds up' WHEN mean_gain > 0 AND folds_better = folds THEN 'positive but within noise' WHEN mean_gain > 0 THEN 'inconsistent across folds' ELSE 'does not hold' END", GAINS)
 def _(spark, sf):
     paired = evaluation.paired_gains(_station_scores(spark, sf), evaluation.claims_frame(spark, CLAIMS))
@@ -242,7 +242,6 @@ def _(spark, sf):
 @query("v2_live_forecast")
 def _(spark, sf):
     _, base = _live(spark, sf)
-    base = base.persist()
     model = RawForecast().fit(rows(spark, sf).where("split = 'train'"))
     sup = products.live_supervised(base, fr.JANUARY.horizons)
     return products.live_forecast(model, sup, fr.stations(spark, sf), fr.JANUARY, fr.NOW)["city"]
@@ -250,7 +249,7 @@ def _(spark, sf):
 
 @query("v3_surface_for_hour")
 def _(spark, sf):
-    base = fr.base(spark, sf, False).persist()
+    base = fr.base(spark, sf, False)
     return neighbours.surface_for_hour(base, "2024-01-20 06:00:00", fr.stations(spark, sf), neighbours.domain_grid(spark, fr.JANUARY))
 
 

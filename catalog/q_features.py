@@ -108,7 +108,7 @@ def _(spark, sf):
   UNION ALL SELECT f.fold, 'test' FROM v_sup0, (VALUES ('week-2', TIMESTAMP '2024-01-13', TIMESTAMP '2024-01-17 23:59:59'), ('week-3', TIMESTAMP '2024-01-19', TIMESTAMP '2024-01-23 23:59:59'), ('week-4', TIMESTAMP '2024-01-25', TIMESTAMP '2024-01-29 23:59:59')) f(fold, a, b)
     WHERE target_time BETWEEN a AND b) GROUP BY 1, 2""")
 def _(spark, sf):
-    sup = fr.supervised(spark, sf).select("issue_time", "target_time").persist()
+    sup = fr.supervised(spark, sf).select("issue_time", "target_time")
     parts = []
     for f in fr.JANUARY.folds:
         parts.append(supervised.fold_train(sup, f.train_end, 24).select(F.lit(f.label).alias("fold"), F.lit("train").alias("side")))
@@ -225,7 +225,7 @@ def _(spark, sf):
 
 
 @query("j13_site_score", "i:p_partkey, d:score=CASE WHEN len(list_intersect(a, b)) = 0 THEN 0 ELSE len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) END",
-       "FROM (SELECT p_partkey, list_filter(list_distinct(string_split(p_name, ' ')), x -> x <> 'new') AS a, list_filter(list_distinct(string_split(lower(p_type || ' ' || split_part(p_name, ' ', 1)), ' ')), x -> x <> 'new') AS b FROM part)")
+       "FROM (SELECT p_partkey, list_filter(list_distinct(string_split(p_name, ' ')), lambda x: x <> 'new') AS a, list_filter(list_distinct(string_split(lower(p_type || ' ' || split_part(p_name, ' ', 1)), ' ')), lambda x: x <> 'new') AS b FROM part)")
 def _(spark, sf):
     p = fr.table(spark, sf, "part")
     other = F.concat_ws(" ", "p_type", F.split("p_name", " ")[0])

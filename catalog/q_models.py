@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import cache
 
+
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from skycast.operators import attribution, evaluation
@@ -13,7 +16,8 @@ from skycast.operators.models import (
 from skycast.plans import studies
 from skycast.plans.base import city_supervised, scorable
 from skycast.plans.products import Registry
-from skycast.session import scratch
+from skycast.session import scratch, staged
+from skycast.session import tune as tune_session
 
 from . import frames as fr
 from .registry import query
@@ -23,9 +27,16 @@ KEYS = ["station_id", "issue_time"]
 MODEL_ROW = "station_id, t:issue_time, i:horizon_h, d:q10, d:q50, d:q90"
 
 
+@cache
+def _staged_rows(sf: str, app: str):
+    spark = SparkSession.getActiveSession()
+    return staged(scorable(fr.supervised(spark, sf)), "supervised")
+
+
 def rows(spark, sf):
-    """Labelled supervised rows every model can score, computed once for the fits of a query."""
-    return scorable(fr.supervised(spark, sf)).persist()
+    """Labelled supervised rows every model can score, written once and sliced by the fits."""
+    tune_session(spark)
+    return _staged_rows(sf, spark.sparkContext.applicationId)
 
 
 def _baselines():
@@ -160,9 +171,10 @@ def _overlap(spark, sf):
 
 # -- evaluations on fits ----------------------------------------------------
 def _models():
+    best = Corrector("full+upwind", **SMALL)
     return [
         *_baselines(), Corrector("full (no fires)", drop_prefixes=("upwind_", "fire_"), **SMALL), Corrector("full", drop_prefixes=("upwind_",), **SMALL),
-        Corrector("full+upwind", **SMALL), Coupled("coupled", **SMALL), Calibrated(Corrector("full+upwind", **SMALL)),
+        best, Coupled("coupled", **SMALL), Calibrated(best),
     ]
 
 
@@ -193,7 +205,7 @@ def _(spark, sf):
     roster = fr.stations(spark, sf)
     # The most isolated and the richest stations by their suppliers' balance are held out.
     held = roster.orderBy(F.desc("balance"), "station_id").limit(2).select(F.col("station_id").alias("held_out"))
-    return studies.leave_one_out(fr.base(spark, sf).persist(), roster, cfg, held, min_train=200, **SMALL)
+    return studies.leave_one_out(fr.base(spark, sf), roster, cfg, held, min_train=200, **SMALL)
 
 
 @query("e14_lead_match_comparison")

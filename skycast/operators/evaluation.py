@@ -140,7 +140,7 @@ def verdicts(paired: DataFrame) -> DataFrame:
     worse = F.col("folds") - F.col("folds_better")
     penalty = (
         F.when((worse == F.col("folds")) & beyond, "real cost")
-        .when(worse > F.col("folds") / 2, "cost in the expected direction, within noise")
+        .when(worse > F.col("folds") / 2, "cost in the expected direction; within noise")
         .otherwise("no measurable cost")
     )
     addition = (

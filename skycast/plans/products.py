@@ -21,7 +21,7 @@ from ..operators.supervised import build_supervised, forecast_columns, lead_matc
 from ..operators.transport import COLUMNS as CORRIDOR_COLUMNS
 from ..operators.transport import corridor_series
 from ..operators.windows import observation_features
-from ..session import broadcast_bounded
+from ..session import broadcast_bounded, staged
 from .base import Sources, base_frame
 
 REPLAY_SOURCES = ("cpcb", "cams_archive", "meteo_archive")
@@ -67,13 +67,12 @@ class Registry:
         found = self.get(name)
         if found is not None:
             return found
-        rows = sup.dropna(subset=["y", "cams_pm2_5_tgt"]).where(F.col("split").isin("train", "val")).persist()
+        rows = staged(sup.dropna(subset=["y", "cams_pm2_5_tgt"]).where(F.col("split").isin("train", "val")), "registry")
         model = Calibrated(Corrector(name, **params))
         model.fit(rows.where("split = 'train'"))
         val = rows.where("split = 'val'")
         if not val.isEmpty():
             model.calibrate(val)
-        rows.unpersist()
         self.put(model, trained_through)
         return model, trained_through
 
@@ -88,7 +87,8 @@ def replay_rows(src: Sources, day: dt.date, horizon: int, cfg: Settings, margin:
 
 def replay(model: Model, window: DataFrame, cfg: Settings, horizon: int, top: int = 5) -> dict[str, DataFrame]:
     """City series, skill, stage probabilities and drivers of a replayed day."""
-    scored = model.predict(window).persist()
+    window = staged(window, "replay")
+    scored = model.predict(window)
     series = city_series(scored)
     skill = scored.agg(
         F.count(F.when(finite("y", "q50"), 1)).alias("n"),
@@ -162,7 +162,7 @@ def live_supervised(base: DataFrame, horizons, issue: dt.datetime | None = None)
 
 def live_forecast(model: Model, sup: DataFrame, roster: DataFrame, cfg: Settings, now: dt.datetime) -> dict[str, DataFrame]:
     """Station rows, city interval with stage probabilities per horizon, and staleness."""
-    scored = model.predict(sup).persist()
+    scored = staged(model.predict(sup), "live")
     per = scored.groupBy("horizon_h", "target_time").agg(
         F.avg("q10").alias("q10"), F.avg("q50").alias("q50"), F.avg("q90").alias("q90"), F.max("issue_time").alias("issue_time")
     )

@@ -23,6 +23,7 @@ from ..operators.models import (
 )
 from ..operators.neighbours import neighbour_features
 from ..operators.supervised import assign_split, build_supervised, fold_test, fold_train, lead_match
+from ..session import staged
 from .base import scorable
 
 MIN_FOLD_TRAIN, MIN_FOLD_TEST = 5000, 500
@@ -37,8 +38,12 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def fit_models(models: Sequence[Model], train: DataFrame, val: DataFrame | None = None) -> list[Model]:
+    done: list[Model] = []
     for m in models:
-        m.fit(train)
+        # A calibrated wrapper around a model of the list shares its fit.
+        if not (isinstance(m, Calibrated) and any(m.inner is d for d in done)):
+            m.fit(train)
+        done.append(m)
         if isinstance(m, Calibrated) and val is not None and not val.isEmpty():
             m.calibrate(val)
     return list(models)
@@ -54,7 +59,7 @@ def predictions(models: Sequence[Model], held: DataFrame, keep: Sequence[str] =
 
 def ablation(sup: DataFrame, models: Sequence[Model] | None = None, evaluate_on: str = "test") -> tuple[DataFrame, list[Model]]:
     """All models on identical rows: score table (model, horizon; 0 is overall) and the fitted models."""
-    rows = scorable(sup).where(F.col("split").isin("train", "val", evaluate_on)).persist()
+    rows = staged(scorable(sup).where(F.col("split").isin("train", "val", evaluate_on)), "ablation")
     train, val, held = (rows.where(F.col("split") == s) for s in ("train", "val", evaluate_on))
     fitted = fit_models(models or default_models(), train, val)
     table = horizon_table(predictions(fitted, held), ["model"], baseline="base_q50")
@@ -107,11 +112,11 @@ def rolling_origin(
     With ``lead``, a second pass reruns the plain model on the rows the lead matching reached.
     """
     spark = sup.sparkSession
-    rows = scorable(sup).persist()
+    rows = staged(scorable(sup), "rolling")
     done = _finished(spark, results) if resume else set()
     passes = [(rows, models, "", "")]
     if lead is not None:
-        matched = lead_match(rows, lead).where("met_lead_matched").persist()
+        matched = staged(lead_match(rows, lead).where("met_lead_matched"), "rolling-lead")
         chosen = lead_models or (lambda: [Corrector("full", drop_prefixes=("upwind_",))])
         passes.append((matched, chosen, " (lead-matched)", "-leadmatched"))
     for frame, make, suffix, mark in passes:
@@ -123,7 +128,6 @@ def rolling_origin(
             if out is not None:
                 out.withColumn("part", F.lit(key)).write.mode("overwrite").option(
                     "partitionOverwriteMode", "dynamic").partitionBy("part").parquet(results)
-    rows.unpersist()
     return spark.read.parquet(results).drop("part")
 
 
@@ -158,7 +162,7 @@ def leave_one_out(
     key = F.concat_ws("|", "held_out", "station_id")
     sup = build_supervised(wide.withColumn("_sid", F.col("station_id")).withColumn("station_id", key), cfg.horizons)
     sup = assign_split(sup.withColumn("station_id", F.col("_sid")).drop("_sid"), cfg)
-    sup = sup.dropna(subset=["y", "cams_pm2_5_tgt"]).persist()
+    sup = staged(sup.dropna(subset=["y", "cams_pm2_5_tgt"]), "held-out", ["held_out"])
     parts = []
     for case in cases:
         rows = sup.where(F.col("held_out") == case)
@@ -208,12 +212,12 @@ def stage_evaluation(sup: DataFrame, cfg: Settings, **params) -> dict[str, DataF
     anchor = "cams_pm25_24h_tgt"
     if anchor not in sup.columns:
         raise KeyError(f"{anchor} missing")
-    rows = sup.dropna(subset=["y", anchor]).persist()
+    rows = staged(sup.dropna(subset=["y", anchor]), "city")
     train, val, test = (rows.where(F.col("split") == s) for s in ("train", "val", "test"))
     model = Calibrated(Corrector("city-corrector", anchor=anchor, **params))
     fit_models([model], train, val)
     pred = stage_probabilities(model.predict(test), cfg).withColumn("observed_stage", observed_stage(F.col("y"), cfg))
-    pred = pred.persist()
+    pred = staged(pred, "city-scored")
     summary = pred.agg(
         F.count("*").alias("test_rows"), rmse(F.col("q50") - F.col("y")).alias("rmse_city"),
         F.avg(((F.col("y") >= F.col("q10")) & (F.col("y") <= F.col("q90"))).cast("double")).alias("coverage"),
@@ -227,7 +231,7 @@ def lead_match_comparison(
 ) -> DataFrame:
     """The same models under two meteorologies, on the rows the lead matching reached."""
     make = models or (lambda: [Persistence(), RawForecast(), Corrector("full", drop_prefixes=("upwind_",), **params)])
-    matched = lead_match(sup, lead).where("met_lead_matched").persist()
+    matched = staged(lead_match(sup, lead).where("met_lead_matched"), "lead-matched")
     keys = ["station_id", "issue_time", "horizon_h"]
     short = sup.join(matched.select(*keys), keys, "left_semi")
     parts = []
@@ -247,7 +251,7 @@ def visibility_supervised(base: DataFrame, cfg: Settings, roster: DataFrame | No
 
 def visibility_evaluation(sup: DataFrame, min_train: int = MIN_VIS_TRAIN, min_band: int = 30, **params) -> dict[str, DataFrame]:
     """Four visibility predictors: scores, fog alarms and pollution strata."""
-    rows = sup.dropna(subset=["y", "vis_anchor_km", "vis_lag_1h"]).persist()
+    rows = staged(sup.dropna(subset=["y", "vis_anchor_km", "vis_lag_1h"]), "visibility")
     train, val, test = (rows.where(F.col("split") == s) for s in ("train", "val", "test"))
     if train.count() < min_train or test.isEmpty():
         raise RuntimeError("too few visibility rows; check the split blocks")
