@@ -21,7 +21,7 @@ def cdf(x: Column | float, q10: Column, q50: Column, q90: Column) -> Column:
         .when(x <= q90, 0.5 + 0.4 * (x - q50) / right)
         .when(x > q90, 1.0 - 0.1 * F.exp(-(x - q90) / right))
     )
-    return F.when(q10.isNotNull() & q50.isNotNull() & q90.isNotNull(), clip(p, 0.0, 1.0))
+    return F.when(q10.isNotNull() & q50.isNotNull() & q90.isNotNull(), F.greatest(F.lit(0.0), F.least(p, F.lit(1.0))))
 
 
 def stage_probabilities(df: DataFrame, cfg: Settings, q10="q10", q50="q50", q90="q90") -> DataFrame:
@@ -33,7 +33,7 @@ def stage_probabilities(df: DataFrame, cfg: Settings, q10="q10", q50="q50", q90=
     cols = {}
     for k, _, lo, hi in bounds:
         inside = F.col(edges[hi]) - F.col(edges[lo])
-        cols[f"p_stage_{k}"] = clip(inside, 0.0, 1.0)
+        cols[f"p_stage_{k}"] = F.when(b.isNotNull(), F.greatest(F.lit(0.0), F.least(inside, F.lit(1.0))))
         cols[f"p_at_least_{k}"] = 1.0 - F.col(edges[lo])
     out = out.withColumns(cols)
     first = bounds[0][0]

@@ -15,4 +15,4 @@ def at_most(c: Column, high) -> Column:
 
 
 def clip(c: Column, low: float, high: float) -> Column:
-    return at_most(at_least(c, low), high)
+    return F.when(c.isNotNull(), F.greatest(F.lit(float(low)), F.least(c, F.lit(float(high)))))

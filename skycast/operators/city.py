@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,7 +39,10 @@ def station_aqi(
 ) -> DataFrame:
     """pm25_24h (16 of 24 hours) and aqi_pm25. ``compat=True`` counts 24 rows instead of 24 hours."""
     if compat:
-        out = rolling_mean(df, value, "pm25_24h", AQI_HOURS, AQI_MIN_HOURS, key)
+        # Rows reach back over gaps of any length, so the frame stays within the whole series of a station.
+        last = Window.partitionBy(key).orderBy("time").rowsBetween(1 - AQI_HOURS, 0)
+        mean = F.when(F.count(value).over(last) >= AQI_MIN_HOURS, F.avg(value).over(last))
+        out = df.withColumn("pm25_24h", mean)
     else:
         out = rolling_mean_by_hours(df, value, "pm25_24h", AQI_HOURS, AQI_MIN_HOURS, key)
     return out.withColumn("aqi_pm25", pm25_to_aqi(F.col("pm25_24h"), cfg))

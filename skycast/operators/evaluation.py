@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -275,27 +277,32 @@ def clustered_ci(
 ) -> DataFrame:
     """Bootstrap interval of a mean by resampling whole clusters; null below five clusters.
 
-    Only the sum and count of each cluster take part, packed per group: clusters are run
-    days, so a pack is bounded by the calendar. Draws are spread over the cluster and pick
-    clusters by a seeded hash, so the result does not depend on partitioning.
+    Only the sum and count of each cluster travel. A cluster is a run day, so the rows of
+    one group are bounded by the calendar; its draws are one vectorised pass in the task.
     """
-    sums = df.where(finite(value)).groupBy(*by, cluster).agg(F.sum(value).alias("_s"), F.count("*").alias("_n"))
-    pack = F.array_sort(F.collect_list(F.struct(F.col(cluster).alias("_k"), "_s", "_n"))).alias("_p")
-    packs = sums.groupBy(*by).agg(pack).where(F.size("_p") >= MIN_CLUSTERS)
-    # One small row per lead day.
-    drawn = df.sparkSession.range(draws).crossJoin(F.broadcast(packs))
-    salt = F.xxhash64(F.col("id"), F.lit(seed), *[F.col(c).cast("string") for c in by])
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n"))
-
-    def add(acc, i):
-        pick = F.get(F.col("_p"), F.pmod(F.xxhash64(i, salt), F.size("_p")).cast("int"))
-        return F.struct((acc["s"] + pick["_s"]).alias("s"), (acc["n"] + pick["_n"]).alias("n"))
-
-    total = F.aggregate(F.sequence(F.lit(1), F.size("_p")), zero, add)
-    means = drawn.select(*by, total.alias("_t")).select(*by, (F.col("_t.s") / F.col("_t.n")).alias("_m"))
-    # At most ``draws`` values per group.
-    ends = [F.percentile("_m", F.lit(p)).alias(c) for p, c in ((0.025, "bias_lo"), (0.975, "bias_hi"))]
-    return means.groupBy(*by).agg(*ends)
+    sums = df.where(finite(value)).groupBy(*by, F.col(cluster).alias("_k")).agg(F.sum(value).alias("_s"), F.count("*").alias("_n"))
+    keyed = sums if by else sums.withColumn("_g", F.lit(0))
+    keys = by or ["_g"]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.select(*keys).schema)
+
+    def resample(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pdf[keys].head(1).reset_index(drop=True)
+        n = len(pdf)
+        lo = hi = None
+        if n >= MIN_CLUSTERS:
+            pdf = pdf.sort_values("_k")
+            s, c = pdf["_s"].to_numpy(float), pdf["_n"].to_numpy(float)
+            rng = np.random.default_rng(seed)
+            means = np.empty(draws)
+            step = max(1, 2_000_000 // n)
+            for i in range(0, draws, step):
+                pick = rng.integers(0, n, (min(step, draws - i), n))
+                means[i : i + len(pick)] = s[pick].sum(axis=1) / c[pick].sum(axis=1)
+            lo, hi = np.percentile(means, [2.5, 97.5])
+        return out.assign(bias_lo=lo, bias_hi=hi).astype({"bias_lo": "float64", "bias_hi": "float64"})
+
+    out = keyed.groupBy(*keys).applyInPandas(resample, f"{fields}, bias_lo double, bias_hi double")
+    return out if by else out.drop("_g")
 
 
 def lead_day_bias(overlap: DataFrame) -> DataFrame:
