@@ -311,10 +311,7 @@ def _(spark, sf):
 @query("a11_worst_held_out_day", "day, d:mean_pm25, i:stations", """FROM (SELECT CAST(time AS DATE) AS day, avg(pm25_clean) AS mean_pm25, count(DISTINCT station_id) AS stations FROM v_obs
   WHERE pm25_clean IS NOT NULL AND time >= TIMESTAMP '2024-01-21' AND time < TIMESTAMP '2024-01-26' GROUP BY 1 HAVING count(DISTINCT station_id) >= 10 ORDER BY mean_pm25 DESC LIMIT 1)""")
 def _(spark, sf):
-    from skycast.config import blocks_frame
-
-    blocks = blocks_frame(spark, fr.JANUARY)
-    return evaluation.worst_held_out_day(fr.observations(spark, sf), blocks, dt.date(2024, 1, 1), dt.date(2024, 1, 30), 10)
+    return evaluation.worst_held_out_day(fr.observations(spark, sf), fr.JANUARY, dt.date(2024, 1, 1), dt.date(2024, 1, 30), 10)
 
 
 @query("a12_forecast_agreement", "i:n=count(d), d:bias=avg(d), d:rmse=sqrt(avg(d * d)), d:r=corr(f, o)", """FROM (SELECT avg(cams_pm2_5) AS f, avg(pm25_clean) AS o, avg(cams_pm2_5) - avg(pm25_clean) AS d

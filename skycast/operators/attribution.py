@@ -105,13 +105,12 @@ def drivers(model, df: DataFrame, horizon: int, keys: list[str], top: int = 4, d
     spark = df.sparkSession
     features = spark.createDataFrame([(f,) for f in _corrector(model).features], "feature string")
     size = features.groupBy(driver_of(F.col("feature")).alias("driver")).agg(F.count("*").alias("_k"))
-    rows = df.where(F.col("horizon_h") == horizon).agg(F.count("*").alias("_rows"))
+    rows = df.where(F.col("horizon_h") == horizon).agg(F.count("*")).scalar()
     detail = contributions(model, df, horizon, keys) if detail is None else detail
     sums = detail.groupBy("driver").agg(F.sum("contribution").alias("_s"), F.sum(F.abs("contribution")).alias("_a"))
-    # Ten drivers and one count: scalars next to the aggregate.
-    cells = F.col("_k") * F.col("_rows")
+    cells = F.col("_k") * rows
     return (
-        size.crossJoin(F.broadcast(rows)).join(sums, "driver", "left").fillna(0.0, ["_s", "_a"])
+        size.join(sums, "driver", "left").fillna(0.0, ["_s", "_a"])
         .select("driver", (F.col("_s") / cells).alias("mean_contribution"), (F.col("_a") / cells).alias("mean_magnitude"))
         .orderBy(F.desc("mean_magnitude"), "driver").limit(top)
     )

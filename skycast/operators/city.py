@@ -61,13 +61,9 @@ def city_aqi(
 def stage_frequency(city: DataFrame, cfg: Settings) -> DataFrame:
     """Hours and share of every stage that occurs, among hours with a stage."""
     counts = city.where("grap_stage is not null").groupBy("grap_stage").agg(F.count("*").alias("hours"))
-    # At most one row per stage, so the total is a scalar over five rows.
-    total = counts.agg(F.sum("hours").alias("_total"))
-    return (
-        counts.crossJoin(F.broadcast(total))
-        .withColumn("pct_of_hours", F.round(F.col("hours") / F.col("_total") * 100, 2))
-        .withColumn("stage_name", stage_name(F.col("grap_stage"), cfg))
-        .drop("_total")
+    total = counts.agg(F.sum("hours")).scalar()
+    return counts.withColumn("pct_of_hours", F.round(F.col("hours") / total * 100, 2)).withColumn(
+        "stage_name", stage_name(F.col("grap_stage"), cfg)
     )
 
 

@@ -122,8 +122,8 @@ def claims_frame(spark, claims=CLAIMS) -> DataFrame:
 def paired_gains(overall: DataFrame, claims: DataFrame) -> DataFrame:
     """Per claim: fold-by-fold relative gains of the challenger and their summary."""
     rows = overall.select("fold", "model", "rmse")
-    # The claim list is configuration: a handful of rows.
-    long = F.broadcast(claims).join(rows, (rows.model == claims.reference) | (rows.model == claims.challenger))
+    sides = claims.withColumn("model", F.explode(F.array_distinct(F.array("reference", "challenger"))))
+    long = sides.join(rows, "model")
     per = long.groupBy("claim", "kind", "reference", "challenger", "fold").agg(
         F.max(F.when(F.col("model") == F.col("reference"), F.col("rmse"))).alias("_a"),
         F.max(F.when(F.col("model") == F.col("challenger"), F.col("rmse"))).alias("_b"),
@@ -178,8 +178,7 @@ def family_gains(table: DataFrame, families=FAMILIES) -> DataFrame:
     def of(side: str, column: str) -> Column:
         return F.max(F.when(F.col("model") == F.col(side), F.col(column)))
 
-    # Three configured families.
-    long = F.broadcast(fam).join(table, F.col("model").isin(F.col("without"), F.col("with")))
+    long = fam.withColumn("model", F.explode(F.array_distinct(F.array("without", "with")))).join(table, "model")
     out = long.groupBy("family", "without", "with", "horizon_h").agg(
         of("without", "rmse").alias("rmse_without"), of("with", "rmse").alias("rmse_with"),
         of("without", "episode_recall").alias("recall_without"), of("with", "episode_recall").alias("recall_with"),
@@ -332,10 +331,10 @@ def sufficiency(overlap: DataFrame, needed: int = MIN_RUN_DAYS) -> DataFrame:
 def fit_offset(overlap: DataFrame, needed: int = MIN_RUN_DAYS) -> DataFrame:
     """Additive offset per lead day (minus the settled bias); null until enough settled run days exist."""
     table = lead_day_bias(overlap.where("settled")).select("lead_day", (-F.col("bias")).alias("_o"))
-    # One row, a readiness flag.
-    return table.crossJoin(F.broadcast(sufficiency(overlap, needed))).select(
-        "lead_day", F.when(F.col("ready"), F.col("_o")).alias("offset"), "settled_days", "needed", "ready"
-    )
+    settled = sufficiency(overlap, needed).select("settled_days").scalar()
+    return table.withColumns({"settled_days": settled, "needed": F.lit(needed)}).withColumn(
+        "ready", F.col("settled_days") >= needed
+    ).select("lead_day", F.when(F.col("ready"), F.col("_o")).alias("offset"), "settled_days", "needed", "ready")
 
 
 def input_degradation(archive: DataFrame, lead: DataFrame, variables: list[str]) -> DataFrame:
@@ -403,15 +402,17 @@ def city_series(df: DataFrame) -> DataFrame:
     )
 
 
-def worst_held_out_day(obs: DataFrame, blocks: DataFrame, first, last, min_stations: int = 40) -> DataFrame:
+def worst_held_out_day(obs: DataFrame, cfg: Settings, first, last, min_stations: int = 40) -> DataFrame:
     """The dirtiest day inside a test block and the served range with enough stations."""
     day = F.to_date("time")
     daily = obs.where(F.col("pm25_clean").isNotNull() & day.between(F.lit(first), F.lit(last))).groupBy(day.alias("day")).agg(
         F.avg("pm25_clean").alias("mean_pm25"), F.countDistinct("station_id").alias("stations")
     )
-    # Held-out blocks are configuration rows.
-    held = F.broadcast(blocks.where("split = 'test'").select(F.col("first").alias("_a"), F.col("last").alias("_b")))
-    inside = daily.where(F.col("stations") >= min_stations).join(held, F.col("day").between(F.col("_a"), F.col("_b")), "left_semi")
+    held = F.lit(False)
+    for b in cfg.blocks:
+        if b.split == "test":
+            held = held | F.col("day").between(F.lit(b.start).cast("date"), F.lit(b.end).cast("date"))
+    inside = daily.where((F.col("stations") >= min_stations) & held)
     best = inside.agg(F.max_by(F.struct("day", "mean_pm25", "stations"), F.struct("mean_pm25", -F.unix_date("day"))).alias("b"))
     return best.where("b is not null").select("b.*")
 

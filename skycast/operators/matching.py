@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
@@ -91,7 +91,12 @@ def name_pairs(roster: DataFrame, candidates: DataFrame, min_score: float = name
 
 def match_by_name(roster: DataFrame, candidates: DataFrame, min_score: float = names.MIN_SCORE) -> DataFrame:
     """Serve the roster in order, each entry taking its best free candidate above the score."""
-    pairs = name_pairs(roster, candidates, min_score)
+    # Of candidates with the same words no more than one per roster entry can ever be taken,
+    # and they are taken in id order: a rank limit, applied before the shuffle, loses nothing.
+    same = F.array_join(F.array_sort(names.tokens(F.col("candidate_name"))), " ")
+    rank = F.row_number().over(Window.partitionBy("_same").orderBy("candidate_id"))
+    first = candidates.withColumn("_same", same).withColumn("_k", rank).where(F.col("_k") <= roster.count())
+    pairs = name_pairs(roster, first.drop("_same", "_k"), min_score)
     return mutual_best(
         pairs, "station_id", "candidate_id", [-F.col("score"), F.col("candidate_id")], [F.col("rank"), F.col("station_id")]
     ).drop("rank")

@@ -75,8 +75,8 @@ def neighbour_features(
     links = edges(stations, length_km)
     if held_out is not None:
         # One copy of the edges per held-out station, without that station as neighbour.
-        ids = F.array_sort(F.collect_set("held_out"))
-        links = links.crossJoin(F.broadcast(held_out.agg(ids.alias("_h")))).withColumn("held_out", F.explode("_h")).drop("_h")
+        cases = F.explode(F.lit([r[0] for r in held_out.select("held_out").distinct().collect()]))
+        links = links.withColumn("held_out", cases)
         links = links.where(F.col("neighbour") != F.col("held_out"))
     links = broadcast_checked(links.where(~F.col("neighbour").isin(list(exclude))) if exclude else links)
 
@@ -91,7 +91,8 @@ def neighbour_features(
         F.col("station_id").alias("receptor"), "time", F.coalesce("_w", "_mean_w").alias("_w")
     )
     met = usable.withColumnRenamed("station_id", "neighbour").drop("_w").join(links, "neighbour")
-    met = met.join(winds, ["time", "receptor"])
+    # Hash the short wind side per time partition rather than sort the many edge rows.
+    met = met.join(winds.hint("shuffle_hash"), ["time", "receptor"])
     wind_weight = F.col("decay") * upwind_share(F.col("_w"), F.col("bearing"), power)
     sums = met.groupBy("time", "receptor", *keys).agg(
         F.sum("decay").alias("_d"), F.sum(F.col("decay") * F.col("_v")).alias("_dv"),
@@ -102,7 +103,7 @@ def neighbour_features(
     out = base
     if held_out is not None:
         own = usable.select("time", F.col("station_id").alias("held_out"), F.lit(1).alias("_own"))
-        out = out.crossJoin(F.broadcast(held_out))
+        out = out.withColumn("held_out", cases)
         out = out.join(present, "time", "left").join(own, ["time", "held_out"], "left")
         count = F.coalesce("_n", F.lit(0)) - F.coalesce("_own", F.lit(0))
     else:
@@ -182,7 +183,8 @@ def surface(
         "pm25", F.when(F.col("_u") > WIND_FLOOR, F.col("_uv") / F.greatest("_u", F.lit(FLOOR))).otherwise(F.col("pm25_idw"))
     ).drop("_d", "_dv", "_u", "_uv")
     hours = values.select("time").distinct()
-    full = hours.crossJoin(cells.select("lat", "lon"))
+    every = cells.agg(F.collect_list(F.struct("lat", "lon"))).scalar()
+    full = hours.withColumn("_c", F.explode(every)).select("time", "_c.*")
     return full.join(out, ["time", "lat", "lon"], "left")
 
 

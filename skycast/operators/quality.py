@@ -99,10 +99,9 @@ def stable_basket(df: DataFrame, min_coverage: float, value: str = "pm25_clean")
     """Stations reporting in at least ``min_coverage`` of all hours; everything if none does."""
     if min_coverage <= 0:
         return df
-    hours = df.select("time").distinct().agg(F.count("*").alias("_hours"))
+    hours = df.select("time").distinct().agg(F.count("*")).scalar()
     counts = df.where(F.col(value).isNotNull()).groupBy("station_id").agg(F.count("*").alias("_held"))
-    # _hours is one row; it rides along as a scalar.
-    kept = counts.crossJoin(F.broadcast(hours)).where(F.col("_held") >= min_coverage * F.col("_hours")).select("station_id")
+    kept = counts.where(F.col("_held") >= min_coverage * hours).select("station_id")
     if kept.isEmpty():
         return df
     return df.join(kept, "station_id", "left_semi")

@@ -42,9 +42,10 @@ def corridor_series(base: DataFrame, corridor: DataFrame, obs: DataFrame, compat
         F.sum(weight).alias("_w"), F.sum(weight * F.col("_v")).alias("_wv"),
         F.sum(weight * F.col("distance_km")).alias("_wk"),
     )
-    bearings = known.agg(F.collect_set("bearing_deg").alias("_b"))
+    # Distinct bearings of the corridor roster, one value in the plan.
+    bearings = known.agg(F.collect_set("bearing_deg")).scalar()
     largest = F.array_max(F.transform("_b", lambda b: F.greatest(F.cos(F.radians(F.col("_dir") - b)), F.lit(0.0))))
-    out = hours.crossJoin(F.broadcast(bearings)).withColumn(
+    out = hours.withColumn("_b", bearings).withColumn(
         "upwind_alignment", F.when(F.col("_dir").isNotNull(), F.least(largest, F.lit(1.0)))
     )
     out = out.join(sums, "time", "left")

@@ -207,8 +207,8 @@ def why_not_replayable(coverage: DataFrame, day: dt.date, rows_before_drop: int,
         f"no observations for {day}, nothing to score a {horizon} h forecast against" if rows_before_drop == 0
         else f"{day} has observations but no forecast at the target hours"
     )
-    other = coverage.sparkSession.range(1).select(F.lit(text).alias("reason"))
-    return short.unionByName(other.join(short.limit(1).select(F.lit(1).alias("_x")), F.lit(True), "left_anti"))
+    none_short = short.agg(F.count("*")).scalar() == 0
+    return short.unionByName(coverage.sparkSession.range(1).where(none_short).select(F.lit(text).alias("reason")))
 
 
 def split_of_day(days: DataFrame, cfg: Settings, trained_through: dt.date | None, day: str = "day") -> DataFrame:
@@ -225,10 +225,11 @@ def split_of_day(days: DataFrame, cfg: Settings, trained_through: dt.date | None
 def input_gap(overlap: DataFrame, needed: int = 20) -> DataFrame:
     """The caveat that travels with a forecast: the lead day whose served input is furthest below the trained one."""
     worst = lead_day_bias(overlap).agg(F.min_by(F.struct("lead_day", "bias"), F.struct("bias", "lead_day")).alias("w"))
-    # Two single rows.
-    out = worst.crossJoin(F.broadcast(sufficiency(overlap, needed)))
-    return out.where("w is not null").select(
-        F.col("w.lead_day").alias("worst_lead_day"), F.round("w.bias", 1).alias("worst_bias_ugm3"), "run_days", "settled_days", "needed"
+    ready = sufficiency(overlap, needed)
+    return worst.where("w is not null").select(
+        F.col("w.lead_day").alias("worst_lead_day"), F.round("w.bias", 1).alias("worst_bias_ugm3"),
+        ready.select("run_days").scalar().alias("run_days"), ready.select("settled_days").scalar().alias("settled_days"),
+        F.lit(needed).alias("needed"),
     )
 
 

@@ -94,9 +94,8 @@ def run_fold(
         return None
     pred = predictions(fit_models(models, train), test)
     table = horizon_table(pred, ["model"], baseline="base_q50")
-    mean = test.agg(F.avg("y").alias("observed_mean"))
-    # One scalar row.
-    return table.crossJoin(F.broadcast(mean)).select(
+    mean = test.agg(F.avg("y")).scalar()
+    return table.withColumn("observed_mean", mean).select(
         F.lit(fold.label).alias("fold"), F.concat("model", F.lit(suffix)).alias("model"), "horizon_h", "n", "rmse", "mae", "bias",
         "episode_recall", "observed_mean",
     )
