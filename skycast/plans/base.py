@@ -13,9 +13,11 @@ from ..operators.align import (
     hourly_index, in_range, join_airport, join_cams, join_fires, join_meteo, join_observations,
 )
 from ..operators.city import city_base
+from ..operators.quality import reconstruction_checks
 from ..operators.supervised import assign_split, build_supervised, lead_match
 from ..operators.transport import upwind_features
 from ..operators.windows import observation_features
+from ..session import staged
 
 
 @dataclass
@@ -92,9 +94,29 @@ def supervised_table(
 
 
 def city_supervised(base: DataFrame, cfg: Settings, roster: DataFrame | None = None, **kw) -> DataFrame:
-    """Supervised rows of the city's 24-hour mean."""
-    sup = build_supervised(city_base(base, cfg, roster, **kw), cfg.horizons, target="city_pm25_24h")
-    return assign_split(sup, cfg)
+    """Supervised rows of the city's 24-hour mean.
+
+    The city series has one row per hour; writing it once keeps the two sides of the
+    horizon join from rebuilding the station frame.
+    """
+    city = staged(city_base(base, cfg, roster, **kw), "city")
+    return assign_split(build_supervised(city, cfg.horizons, target="city_pm25_24h"), cfg)
+
+
+def reconstruction_gate(src: Sources, starts, cfg: Settings, required: list[str]) -> DataFrame:
+    """Rebuild whole weeks from the sources alone and check index, keys and columns, per week."""
+    import datetime as dt
+
+    n = src.stations.count()
+    parts = []
+    for label, start in starts.items():
+        first = dt.date.fromisoformat(str(start))
+        week = base_frame(src, first, first + dt.timedelta(days=6), cfg)
+        parts.append(reconstruction_checks(week, n, 7, required).withColumn("week", F.lit(label)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 NEEDED = ("y", "cams_pm2_5_tgt", "obs_lag_1h", "obs_lag_24h")

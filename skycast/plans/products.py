@@ -175,7 +175,11 @@ def live_forecast(model: Model, sup: DataFrame, roster: DataFrame, cfg: Settings
     stations = scored.select(
         "horizon_h", "station_id", F.round("q50", 1).alias("pm25"), F.round("q10", 1).alias("lower"), F.round("q90", 1).alias("upper")
     ).join(roster.select("station_id", "name", "lat", "lon"), "station_id", "left")
-    return {"city": city, "stations": stations}
+    out = {"city": city, "stations": stations}
+    forests = getattr(getattr(model, "inner", model), "forests", {})
+    if 72 in forests:
+        out["drivers"] = drivers(model, sup, 72, ["station_id", "issue_time"], 5)
+    return out
 
 
 # -- availability -----------------------------------------------------------

@@ -243,7 +243,7 @@ def lead_match_comparison(
 # -- visibility -------------------------------------------------------------
 def visibility_supervised(base: DataFrame, cfg: Settings, roster: DataFrame | None = None) -> DataFrame:
     """City rows with observed visibility as target and the forecast's visibility as anchor."""
-    city = city_base(base, cfg, roster, min_coverage=STABLE_SHARE)
+    city = staged(city_base(base, cfg, roster, min_coverage=STABLE_SHARE), "city-visibility")
     sup = build_supervised(city, cfg.horizons, target="metar_visibility_km")
     return assign_split(sup.withColumn("vis_anchor_km", F.col("met_visibility_tgt") / 1000.0), cfg)
 

@@ -49,6 +49,59 @@ def test_queries_agree_with_sql(spark, name):
     assert list(got.columns) == list(want.columns) and got.equals(want)
 
 
+def test_configuration_file_becomes_settings_and_rosters(spark, tmp_path):
+    from skycast import config
+
+    (tmp_path / "c.toml").write_text("""
+[forecast]
+horizons_h = [12, 24]
+[grap]
+city_average_cities = ["Delhi"]
+[[grap.stages]]
+stage = 1
+name = "Poor"
+aqi_min = 201
+aqi_max = 300
+[split]
+embargo_h = 48
+test_blocks = [{ start = "2025-01-01", end = "2025-01-02", label = "t" }]
+[stations_meta]
+stations = [{ id = "DL001", name = "A", city = "Delhi", agency = "DPCC", lat = 28.5, lon = 77.1, openaq_id = 5 }]
+[upwind]
+upwind_stations = [{ id = "UW001", name = "B", city = "C", agency = "D", lat = 29.0, lon = 76.0, distance_km = 65, bearing_deg = 298 }]
+""")
+    cfg = config.Settings.from_toml(str(tmp_path / "c.toml"))
+    assert cfg.horizons == (12, 24) and cfg.embargo_h == 48 and len(cfg.stages) == 1 and cfg.blocks[0].label == "t"
+    assert config.stations_frame(spark, cfg).first()["location_id"] == 5 and config.upwind_frame(spark, cfg).first()["bearing_deg"] == 298.0
+    assert config.brackets_frame(spark, cfg).count() == 6 and config.blocks_frame(spark, cfg).first()["split"] == "test"
+
+
+def test_history_files_and_gated_archive(spark, tmp_path):
+    from skycast.plans.ingest import load_archive, load_history
+
+    (tmp_path / "stations.csv").write_text("StationId,StationName,City,State,Status\nX1,\"Anand Vihar, Delhi - DPCC\",Delhi,Delhi,Active\n")
+    (tmp_path / "station_hour.csv").write_text("StationId,Datetime,PM2.5,PM10\nX1,2018-11-05 01:00:00,80,1\nX1,bad,80,1\nX1,2018-11-05 02:00:00,,1\n")
+    roster = spark.createDataFrame([("DL001", "Anand Vihar", "Delhi", 0)], "station_id string, name string, city string, rank int")
+    got = load_history(spark, str(tmp_path), roster).collect()
+    assert [(r["station_id"], r["time"], r["pm25"]) for r in got] == [("DL001", dt.datetime(2018, 11, 4, 19), 80.0)]
+    (tmp_path / "a.csv").write_text("station_id,datetime,parameter,value\nA,2024-11-01T00:10:00Z,pm25,5\nA,2024-11-01T00:20:00Z,pm10,9\nA,2024-11-20T00:10:00Z,pm25,6\nA,2024-11-20T01:10:00Z,pm25,x\n")
+    d = dt.date(2024, 11, 1)
+    manifest = spark.createDataFrame([("A", d, "ok", False), ("A", dt.date(2024, 11, 20), "failed", False)], "station_id string, day date, status string, stored boolean")
+    store = Store(spark, scratch(spark, "gated"))
+    assert {r["action"] for r in load_archive(store, str(tmp_path / "a.csv"), manifest, d).collect()} == {"write", "refuse"}
+    assert [r["pm25"] for r in store.read_range("cpcb", "2024-11-01", "2024-11-30").collect()] == [5.0]
+
+
+def test_two_week_gate(spark):
+    from catalog import frames as fr
+    from skycast.plans.base import reconstruction_gate
+
+    fr.table(spark, SF, "events")
+    got = reconstruction_gate(fr.sources(spark, SF), {"first": "2024-01-01", "second": "2024-01-15"}, fr.JANUARY, ["pm25_clean", "obs_lag_24h", "absent"])
+    ok = {(r["week"], r["check"]): r["ok"] for r in got.collect()}
+    assert ok["first", "rows"] and ok["second", "duplicate_keys"] and ok["first", "column:obs_lag_24h"] and not ok["second", "column:absent"]
+
+
 def test_entry_runs(spark):
     import __spark_entry__ as spec
 
