@@ -237,9 +237,9 @@ FROM v_obs WINDOW r AS (PARTITION BY station_id ORDER BY time RANGE INTERVAL 23
 
 def aqi(x: str) -> str:
     return (
-        f"CASE WHEN {x} <= 30 THEN round(greatest(0.0, 50.0 / 30.0 * ({x}))) WHEN {x} <= 60 THEN round(49.0 / 30.0 * ({x} - 30.0) + 51.0) "
-        f"WHEN {x} <= 90 THEN round(99.0 / 30.0 * ({x} - 60.0) + 101.0) WHEN {x} <= 120 THEN round(99.0 / 30.0 * ({x} - 90.0) + 201.0) "
-        f"WHEN {x} <= 250 THEN round(99.0 / 130.0 * ({x} - 120.0) + 301.0) WHEN {x} <= 380 THEN round(99.0 / 130.0 * ({x} - 250.0) + 401.0) "
+        f"CASE WHEN {x} <= 30 THEN round(round(greatest(0.0, 50.0 / 30.0 * ({x})), 6)) WHEN {x} <= 60 THEN round(round(49.0 / 30.0 * ({x} - 30.0) + 51.0, 6)) "
+        f"WHEN {x} <= 90 THEN round(round(99.0 / 30.0 * ({x} - 60.0) + 101.0, 6)) WHEN {x} <= 120 THEN round(round(99.0 / 30.0 * ({x} - 90.0) + 201.0, 6)) "
+        f"WHEN {x} <= 250 THEN round(round(99.0 / 130.0 * ({x} - 120.0) + 301.0, 6)) WHEN {x} <= 380 THEN round(round(99.0 / 130.0 * ({x} - 250.0) + 401.0, 6)) "
         f"WHEN {x} > 380 THEN 500.0 END"
     )
 

@@ -30,11 +30,17 @@ def main() -> int:
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
     ap.add_argument("--module", default="__spark_entry__")
+    ap.add_argument("--plain", action="store_true", help="a session with Spark's own defaults")
     ap.add_argument("patterns", nargs="*", default=["*"])
     a = ap.parse_args()
-    from skycast.session import local_session
+    if a.plain:
+        from pyspark.sql import SparkSession
 
-    spark = local_session()
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").config("spark.driver.memory", "8g").getOrCreate()
+    else:
+        from skycast.session import local_session
+
+        spark = local_session()
     mod = importlib.import_module(a.module)
     qs, sql = (mod.queries(), mod.oracle_sql()) if hasattr(mod, "queries") else _registry()
     con = duckdb.connect()
