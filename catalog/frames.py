@@ -7,7 +7,6 @@ readings per station-hour stay the same at every scale and the number of station
 from __future__ import annotations
 
 import datetime as dt
-from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,17 +54,15 @@ def events(spark, sf) -> DataFrame:
     )
 
 
-@cache
-def _period(path: str, spark_id: str) -> tuple[str, str]:
-    spark = SparkSession.getActiveSession()
-    lo, hi = spark.read.parquet(f"{path}/events.parquet").agg(F.min("ts"), F.max("ts")).first()
-    return str(lo.date()), str(hi.date())
+_PERIOD: dict[str, tuple[str, str]] = {}
 
 
 def period(spark, sf) -> tuple[str, str]:
-    """First and last day of the events, from the Parquet statistics."""
-    tune(spark)
-    return _period(sf, spark.sparkContext.applicationId)
+    """First and last day of the events."""
+    if sf not in _PERIOD:
+        lo, hi = table(spark, sf, "events").agg(F.min("ts"), F.max("ts")).first()
+        _PERIOD[sf] = str(lo.date()), str(hi.date())
+    return _PERIOD[sf]
 
 
 def text_readings(spark, sf) -> DataFrame:

@@ -10,16 +10,16 @@ from skycast.config import LEAD_MATCHED
 from skycast.functions import aqi as aq
 from skycast.functions.calendar import calendar_features
 from skycast.functions.distribution import cdf, interval_width, ordered, stage_probabilities
-from skycast.functions.geo import bearing_deg, haversine_km
+from skycast.functions.geo import haversine_km
 from skycast.functions.names import site_score
 from skycast.operators import align, city, evaluation, matching, neighbours, supervised, windows
 from skycast.operators.attribution import driver_of
 from skycast.operators.metrics import paired_agreement
-from skycast.operators.models import group_quantiles, time_folds
+from skycast.operators.supervised import time_folds
 from skycast.operators.quantiles import exact_quantiles
 from skycast.operators.transport import corridor_series
 from skycast.plans.base import scorable
-from skycast.sources.store import keep_one, merge_frames
+from skycast.sources.store import keep_one
 
 from . import frames as fr
 from . import views as vw

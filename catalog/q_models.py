@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from functools import cache
 
-
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from skycast.operators import attribution, evaluation
@@ -27,16 +24,16 @@ KEYS = ["station_id", "issue_time"]
 MODEL_ROW = "station_id, t:issue_time, i:horizon_h, d:q10, d:q50, d:q90"
 
 
-@cache
-def _staged_rows(sf: str, app: str):
-    spark = SparkSession.getActiveSession()
-    return staged(scorable(fr.supervised(spark, sf)), "supervised")
+_ROWS: dict = {}
 
 
 def rows(spark, sf):
     """Labelled supervised rows every model can score, written once and sliced by the fits."""
     tune_session(spark)
-    return _staged_rows(sf, spark.sparkContext.applicationId)
+    key = (sf, spark.sparkContext.applicationId)
+    if key not in _ROWS:
+        _ROWS[key] = staged(scorable(fr.supervised(spark, sf)), "supervised")
+    return _ROWS[key]
 
 
 def _baselines():
@@ -108,7 +105,7 @@ def _(spark, sf):
 
 @query("m07_coupled")
 def _(spark, sf):
-    r = rows(spark, sf).where("horizon_h = 24")
+    r = rows(spark, sf)
     m = Coupled(**SMALL).fit(r.where("split = 'train'"))
     return m.predict(r.where("split = 'test'")).select("station_id", "issue_time", "horizon_h", "y", "q10", "q50", "q90")
 
@@ -157,7 +154,7 @@ def _(spark, sf):
 @query("m14_model_registry")
 def _(spark, sf):
     """Fit, store, and read the stored model back."""
-    r = rows(spark, sf).where("horizon_h = 24")
+    r = rows(spark, sf)
     through = r.agg(F.max(F.to_date("target_time"))).first()[0]
     reg = Registry(spark, scratch(spark, "models"))
     reg.get_or_fit(r, through, **SMALL)
@@ -186,7 +183,7 @@ def _(spark, sf):
 
 @query("e04_corridor_strata")
 def _(spark, sf):
-    r = rows(spark, sf).where("horizon_h = 24")
+    r = rows(spark, sf)
     train, held = r.where("split = 'train'"), r.where("split = 'test'")
     a, b = Corrector("full", drop_prefixes=("upwind_",), **SMALL).fit(train), Corrector("full+upwind", **SMALL).fit(train)
     return studies.corridor_strata(held, a, b, min_rows=20)
@@ -203,8 +200,8 @@ def _(spark, sf):
 def _(spark, sf):
     cfg = fr.JANUARY.with_(horizons=(24,))
     roster = fr.stations(spark, sf)
-    # The most isolated and the richest stations by their suppliers' balance are held out.
-    held = roster.orderBy(F.desc("balance"), "station_id").limit(2).select(F.col("station_id").alias("held_out"))
+    # Six held-out stations, as many as the default evaluation has.
+    held = roster.orderBy(F.desc("balance"), "station_id").limit(6).select(F.col("station_id").alias("held_out"))
     return studies.leave_one_out(fr.base(spark, sf), roster, cfg, held, min_train=200, **SMALL)
 
 
@@ -229,8 +226,7 @@ def _(spark, sf):
 
 @query("e22_rolling_origin")
 def _(spark, sf):
-    cfg = fr.JANUARY.with_(horizons=(24, 72))
-    sup = rows(spark, sf).where("horizon_h IN (24, 72)")
+    cfg, sup = fr.JANUARY, rows(spark, sf)
     models = lambda: [Persistence(), RawForecast(), Corrector("full+upwind", **SMALL)]
     return studies.rolling_origin(sup, cfg, scratch(spark, "rolling"), models, min_train=200, min_test=100).drop("observed_mean")
 
