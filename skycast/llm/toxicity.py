@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skycast.session import staged
 
@@ -87,7 +88,7 @@ def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
             ["part", "counts", "ones", "zeros"],
         )
 
-    def add(key, table: pa.Table) -> pa.Table:
+    def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in table["counts"].to_pylist())
         sums = [sum(table[c].to_pylist()) for c in ("ones", "zeros")]
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": [total.astype(np.int32).tobytes()], "ones": [sums[0]], "zeros": [sums[1]]})
@@ -150,7 +151,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
             z = np.array([weight[cells(t or "", among)].sum() for t in b.column(at).to_pylist()], float) + shared.value.intercept
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], [*b.schema.names, name])
 
-    return docs.mapInArrow(apply, docs.schema.add(name, "double"))
+    return docs.mapInArrow(apply, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
