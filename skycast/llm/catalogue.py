@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import knn, packing, quality, sharding, spotsigs, toxicity, warc
+from . import knn, packing, quality, sharding, simhash, spotsigs, toxicity, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_voronoi_top_k": knn.op3_voronoi_top_k,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_simhash_groups": simhash.op5_simhash_groups,
     "op6_spotsigs": spotsigs.op6_spotsigs,
     "op8_warc_derivatives": warc.op8_warc_derivatives,
     "op9_rendezvous_sharding": sharding.op9_rendezvous_sharding,
