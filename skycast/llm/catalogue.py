@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import knn, packing, quality, sharding, simhash, spotsigs, toxicity, warc
+from . import bpe, knn, packing, quality, sharding, simhash, spotsigs, toxicity, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_simhash_groups": simhash.op5_simhash_groups,
     "op6_spotsigs": spotsigs.op6_spotsigs,
+    "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_warc_derivatives": warc.op8_warc_derivatives,
     "op9_rendezvous_sharding": sharding.op9_rendezvous_sharding,
 }
