@@ -1,13 +1,65 @@
-"""From raw documents to packed training sequences: five stages, each written and read again."""
+"""From raw documents to packed training sequences: five stages, each written and read again.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+``documents``. Classifiers learn from the labelled rows of ``documents`` in ``sf_dir``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skycast.llm import packing, quality, simhash, substrings, toxicity
+from skycast.llm.common import fresh, read
+from skycast.session import scratch
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score reaches the threshold."""
+    name = fresh(docs, "score")
+    rules = quality.fitted(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return quality.score(docs, rules, name).where(F.col(name) >= quality.THRESHOLD).select(*docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score stays below the threshold."""
+    name = fresh(docs, "score")
+    model = toxicity.fitted(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, name).where(F.col(name) < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group, the one with the smallest id."""
+    return simhash.keep_one(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that an earlier document has."""
+    return substrings.without_repeats(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces and their places in sequences."""
+    return packing.pack_documents(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", keep_good),
+    ("toxicity", drop_toxic),
+    ("simhash near-dedup", drop_near_copies),
+    ("substring dedup", cut_repeats),
+    ("best-fit packing", pack),
+]
+#: Trained classifiers, hashing of words and tokenizers are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; what each but the last keeps is written to the shared folder and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        path = scratch(spark, f"stage{k}")
+        docs.write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
