@@ -213,11 +213,11 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> Data
     Rows with a null doc_id stay only if no row of their group has one, and then all of them do.
     """
     groups = near_groups(docs, size, SEED, radius)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    n = fresh(docs, "n")
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+    name = fresh(docs, "first")
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
     null = kept.where(F.col("doc_id").isNull())
-    return kept.where(F.col("doc_id").isNotNull()).withColumn(n, F.lit(1)).drop(n).dropDuplicates(["doc_id"]).unionByName(null)
+    return kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(null)
 
 
 def op5_simhash_groups(spark: SparkSession, sf: str) -> DataFrame:

@@ -469,11 +469,11 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, shard_words: int = SH
     Every row stays, with all its columns; ``n_chars``, where there is one, follows the text. ``docs`` is read twice.
     """
     on_workers(docs.sparkSession)
-    key, gone = fresh(docs, "text_key"), fresh(docs, "spans")
+    key, gone, doc_, key_ = (fresh(docs, n) for n in ("text_key", "spans", "span_doc", "span_key"))
     at = docs.columns.index("text")
     found = (
-        spans(docs, window, shard_words).where("n_removed > 0").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.col("spans").alias(gone))
-        .dropDuplicates(["_doc", "_key"])
+        spans(docs, window, shard_words).where("n_removed > 0").select(F.col("doc_id").alias(doc_), F.col("text_key").alias(key_), F.col("spans").alias(gone))
+        .dropDuplicates([doc_, key_])
     )
 
     def add_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -488,7 +488,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, shard_words: int = SH
             yield pa.RecordBatch.from_arrays(cols, b.schema.names[:-1])
 
     keyed = docs.mapInArrow(add_key, T.StructType([*docs.schema.fields, T.StructField(key, T.LongType())]))
-    joined = keyed.join(found, (F.col("doc_id") == F.col("_doc")) & (F.col(key) == F.col("_key")), "left").select(*docs.columns, gone)
+    joined = keyed.join(found, (F.col("doc_id") == F.col(doc_)) & (F.col(key) == F.col(key_)), "left").select(*docs.columns, gone)
     out = joined.mapInArrow(apply, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 

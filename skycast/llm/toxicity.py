@@ -21,14 +21,14 @@ SIZES = (3, 4, 5, 6)
 #: n-grams are counted in 2 ** BITS cells.
 BITS = 20
 #: Cells the classifier may use: those that tell the classes apart best.
-FEATURES = 6_000
+FEATURES = 4_000
 #: Documents that a cell must occur in.
 LEAST = 4
 #: Tasks that count the bounded sample.
 COUNT_TASKS = 8
 #: Code points that are hashed at once, so that memory does not follow the longest text.
 BLOCK = 1_000_000
-RIDGE = 1e-3
+RIDGE = 3e-5
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.5
 
 
@@ -95,6 +95,8 @@ def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
 
     schema = "part int, counts binary, ones long, zeros long"
     got = sorted(rows.select("text", "y").repartition(COUNT_TASKS).mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema).collect())
+    if not got:
+        return np.zeros(width, np.int32), np.zeros(width, np.int32), 0, 0
     both = np.concatenate([np.frombuffer(r.counts, np.int32).reshape(2, -1) for r in got], axis=1)
     return both[1], both[0], got[0].ones, got[0].zeros
 
