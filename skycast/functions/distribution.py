@@ -28,22 +28,15 @@ def stage_probabilities(df: DataFrame, cfg: Settings, q10="q10", q50="q50", q90=
     """Add p_stage_k, p_at_least_k for every stage, p_stage_0 and expected_stage."""
     a, b, c = F.col(q10), F.col(q50), F.col(q90)
     bounds = stage_bounds(cfg)
-    edges = {x: f"_cdf_{i}" for i, x in enumerate(sorted({v for _, _, lo, hi in bounds for v in (lo, hi)}))}
-    out = df.withColumns({name: cdf(x, a, b, c) for x, name in edges.items()})
-    cols = {}
-    for k, _, lo, hi in bounds:
-        inside = F.col(edges[hi]) - F.col(edges[lo])
-        cols[f"p_stage_{k}"] = F.when(b.isNotNull(), F.greatest(F.lit(0.0), F.least(inside, F.lit(1.0))))
-        cols[f"p_at_least_{k}"] = 1.0 - F.col(edges[lo])
-    out = out.withColumns(cols)
-    first = bounds[0][0]
-    expected = sum((F.lit(float(k)) * F.col(f"p_stage_{k}") for k, *_ in bounds), F.lit(0.0))
-    return out.withColumns(
-        {
-            "p_stage_0": clip(1.0 - F.col(f"p_at_least_{first}"), 0.0, 1.0),
-            "expected_stage": expected,
-        }
-    ).drop(*edges.values())
+    edges = sorted({x for _, _, *pair in bounds for x in pair})
+    # One body over the distinct bounds instead of one expression for each: small enough to be compiled.
+    out = df.withColumn("_cdf", F.transform(F.array(*map(F.lit, edges)), lambda x: cdf(x, a, b, c)))
+    below = {x: F.col("_cdf")[k] for k, x in enumerate(edges)}
+    inside = {k: F.when(b.isNotNull(), F.greatest(F.lit(0.0), F.least(below[hi] - below[lo], F.lit(1.0)))) for k, _, lo, hi in bounds}
+    cols = {f"p_stage_{k}": p for k, p in inside.items()} | {f"p_at_least_{k}": 1.0 - below[lo] for k, _, lo, _ in bounds}
+    cols["p_stage_0"] = clip(1.0 - (1.0 - below[bounds[0][2]]), 0.0, 1.0)
+    cols["expected_stage"] = sum((F.lit(float(k)) * p for k, p in inside.items()), F.lit(0.0))
+    return out.withColumns(cols).drop("_cdf")
 
 
 def ordered(df: DataFrame, q10="q10", q50="q50", q90="q90") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Plausibility limits (ug/m3) and the length of a stuck run (hours).
@@ -11,14 +11,25 @@ MAX_PLAUSIBLE = 1200.0
 STUCK_HOURS = 6
 
 
+def stamp_time(stamp: str) -> Column:
+    """A text stamp with an offset (+05:30, +0530 or Z) as a timestamp; null without one, or where it can't be read."""
+    text = F.col(stamp)
+    return F.coalesce(*(F.try_to_timestamp(text, F.lit(f"yyyy-MM-dd'T'HH:mm:ss{offset}")) for offset in ("XXX", "XX")))
+
+
+def unread_stamps(raw: DataFrame, stamp: str = "datetime") -> DataFrame:
+    """How many readings have a stamp that can't be read, per station; stations without such rows have none."""
+    lost = raw.where(F.col(stamp).isNotNull() & stamp_time(stamp).isNull())
+    return lost.groupBy("station_id").agg(F.count(F.lit(1)).alias("unread"))
+
+
 def to_hourly(raw: DataFrame, stamp: str = "datetime") -> DataFrame:
     """Readings with text stamps (offset or Z) to UTC station hours; hours without a reading get no row.
 
     The offset is applied before truncation. Mean, min, max and count are combined map-side,
     so a station holding most of the readings costs no skewed task.
     """
-    parsed = F.try_to_timestamp(F.col(stamp), F.lit("yyyy-MM-dd'T'HH:mm:ssXXX"))
-    obs = raw.select("station_id", F.date_trunc("hour", parsed).alias("time"), F.col("value").cast("double").alias("value"))
+    obs = raw.select("station_id", F.date_trunc("hour", stamp_time(stamp)).alias("time"), F.col("value").cast("double").alias("value"))
     return hourly_stats(obs)
 
 

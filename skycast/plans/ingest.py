@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.matching import match_by_name
 from ..operators.quality import flag_quality, to_hourly
 from ..sources.readers import bulk_readings, history_hourly, read_bulk_csv
-from ..sources.store import Store, chunk_gate
+from ..sources.store import Store, chunk_gate, chunk_of
 
 
 def load_history(spark: SparkSession, directory: str, roster: DataFrame, cutoff: dt.date | None = dt.date(2021, 1, 1)) -> DataFrame:
@@ -30,6 +30,5 @@ def load_archive(store: Store, path: str, manifest: DataFrame, start: dt.date, d
     actions = chunk_gate(manifest, start)
     hourly = flag_quality(to_hourly(bulk_readings(read_bulk_csv(store.spark, path), station)))
     allowed = actions.where("action = 'write'").select("chunk")
-    chunk = F.floor(F.datediff(F.to_date("time"), F.lit(start)) / 15).cast("int")
-    store.write(hourly.withColumn("chunk", chunk).join(allowed, "chunk", "left_semi").drop("chunk"), dataset)
+    store.write(hourly.withColumn("chunk", chunk_of(F.to_date("time"), start)).join(allowed, "chunk", "left_semi").drop("chunk"), dataset)
     return actions

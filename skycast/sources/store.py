@@ -284,13 +284,18 @@ def product_family(chunks: DataFrame, today, recent: Sequence[str], archive: Seq
     return chunks.withColumn("product", F.explode(family))
 
 
+def chunk_of(day: Column, start, chunk_days: int = CHUNK_DAYS) -> Column:
+    """The number of the chunk of days that a date lies in, from 0 at ``start``."""
+    return F.floor(F.datediff(day, F.lit(_day(start))) / chunk_days).cast("int")
+
+
 def chunk_gate(manifest: DataFrame, start, chunk_days: int = CHUNK_DAYS, max_rate: float = MAX_FAILURE_RATE) -> DataFrame:
     """Per chunk of days: may it be written?
 
     ``manifest`` has station_id, day, status (ok, absent, failed) and stored. An absent
     object is a real gap and no failure. A chunk with every date stored is skipped.
     """
-    chunk = F.floor(F.datediff("day", F.lit(_day(start))) / chunk_days).cast("int")
+    chunk = chunk_of(F.col("day"), start, chunk_days)
     per_day = manifest.groupBy(chunk.alias("chunk"), "day").agg(
         F.count("*").alias("expected"),
         F.sum((F.col("status") == "failed").cast("long")).alias("failed"),

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.quality import flag_quality, to_hourly
+from ..operators.quality import flag_quality, stamp_time, to_hourly
+from ..session import staged
 from ..sources.store import Store
 
 READING_SCHEMA = "station_id string, datetime string, value double"
@@ -35,7 +36,7 @@ def hourly_stream(readings: DataFrame, watermark: str = "12 hours", time: str =
 
 
 def with_event_time(readings: DataFrame, stamp: str = "datetime") -> DataFrame:
-    return readings.withColumn("event_time", F.try_to_timestamp(F.col(stamp), F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")))
+    return readings.withColumn("event_time", stamp_time(stamp))
 
 
 def upsert_stream(
@@ -48,8 +49,10 @@ def upsert_stream(
     ``flagged``, where the whole series is at hand.
     """
     def merge(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            store.write(batch, dataset, merge_on=("station_id", "time"))
+        # Written once, so that the batch and its state are evaluated once.
+        landed = staged(batch, "batch")
+        if not landed.isEmpty():
+            store.write(landed, dataset, merge_on=("station_id", "time"))
 
     writer = hourly.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(merge)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 minutes")).start()
