@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
+import logging
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +16,8 @@ from pyspark.sql import types as T
 from ..functions.geo import nearest_planar
 from ..session import staged
 
+log = logging.getLogger(__name__)
+
 SHRINK_RATIO = 0.5
 CHUNK_DAYS = 15
 MAX_FAILURE_RATE = 0.25
@@ -58,14 +63,51 @@ class Store:
     def path(self, dataset: str) -> str:
         return f"{self.root}/{dataset}"
 
+    def schema(self, dataset: str) -> T.StructType | None:
+        """The columns of a dataset, kept beside it; None where nothing was written by this class."""
+        try:
+            row = self.spark.read.text(f"{self.path(dataset)}/_schema").first()
+        except AnalysisException:
+            return None
+        return None if row is None else T.StructType.fromJson(json.loads(row[0]))
+
+    def _remember(self, dataset: str, added: T.StructType) -> None:
+        """Adds columns to the kept schema; it is only written when it changes."""
+        held = self.scan(dataset)
+        known = T.StructType([] if held is None else held.schema.fields)
+        new = [f for f in added.fields if f.name not in known.names]
+        if new or self.schema(dataset) is None:
+            text = T.StructType([*known.fields, *new]).json()
+            self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path(dataset)}/_schema")
+
     def scan(self, dataset: str) -> DataFrame | None:
-        """The whole dataset with its ``date`` column; None when absent or unreadable."""
+        """The whole dataset with its ``date`` column; None when absent or unreadable.
+
+        With the kept schema no footer is opened before the dates are pruned.
+        """
+        known = self.schema(dataset)
+        reader = self.spark.read.option("mergeSchema", "true") if known is None else self.spark.read.schema(known)
         try:
-            df = self.spark.read.option("mergeSchema", "true").parquet(self.path(dataset))
+            df = reader.parquet(self.path(dataset))
         except AnalysisException:
             return None
         return df if "date" in df.columns else None
 
+    def _readable(self, dataset: str, days: Sequence[dt.date]) -> DataFrame | None:
+        """What is stored for the given dates; None, after a warning, where a file of theirs can't be read."""
+        df = self.scan(dataset)
+        if df is None or not days:
+            return None
+        df = df.where(F.col("date").isin(list(days)))
+        try:
+            df.write.format("noop").mode("overwrite").save()
+        except (PySparkException, Py4JJavaError) as broken:
+            if "FAILED_READ_FILE" not in str(broken):
+                raise
+            log.warning("%s: stored files of %s can't be read and are replaced", dataset, ", ".join(map(str, sorted(days))))
+            return None
+        return df
+
     def write(
         self,
         df: DataFrame,
@@ -77,18 +119,24 @@ class Store:
     ) -> None:
         """Replace the dates present in ``df``, or merge into them on ``merge_on``.
 
+        The rows are written aside first, so that they are evaluated once, and a failed commit loses
+        no stored row. A replace that leaves a date with less than half of its rows warns; a merge
+        can't lose any. Dates whose stored files can't be read are replaced, with a warning.
+
         REBALANCE splits a date holding most of the rows over several files and packs small dates together.
         """
         part = partition_col or time_col
         for c in {time_col, part}:
             require_utc(df, c)
-        out = df.withColumn("date", F.to_date(part))
-        stored = self.scan(dataset) if merge_on else None
-        if stored is not None and set(merge_on) <= set(out.columns) & set(stored.columns):
-            days = [r[0] for r in out.select("date").distinct().collect()]
-            out = merge_frames(out, stored.where(F.col("date").isin(days)), ["date", *merge_on], prefer)
-            # Written aside first: a failed commit must not lose stored rows.
-            out = staged(out, f"merge-{dataset}")
+        out = staged(df.withColumn("date", F.to_date(part)), f"write-{dataset}")
+        days = [r[0] for r in out.select("date").distinct().collect()]
+        stored = self._readable(dataset, days)
+        if stored is not None and merge_on and set(merge_on) <= set(out.columns) & set(stored.columns):
+            out = staged(merge_frames(out, stored, ["date", *merge_on], prefer), f"merge-{dataset}")
+        elif stored is not None:
+            for r in shrink_findings(out, stored, "date").orderBy("date").collect():
+                log.warning("%s: %s goes from %d to %d rows", dataset, r.date, r.stored_rows, r.incoming_rows)
+        self._remember(dataset, out.schema)
         (
             out.hint("rebalance", F.col("date"))
             .sortWithinPartitions("date", time_col)
@@ -149,6 +197,7 @@ class Store:
                 due = mine.join(theirs, "date", "left").where("theirs is null or mine > theirs").select("date")
             days = [r[0] for r in due.collect()]
             if days:
+                target._remember(name, df.schema)
                 (
                     df.where(F.col("date").isin(days))
                     .hint("rebalance", F.col("date"))

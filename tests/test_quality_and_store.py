@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from skycast.operators.quality import flag_quality, reconstruction_checks, stable_basket, step_changes, to_hourly
+from skycast.operators.quality import flag_quality, reconstruction_checks, stable_basket, step_changes, to_hourly, unread_stamps
 from skycast.sources import readers as rd
 from skycast.sources import store as st
 from skycast.session import scratch
@@ -172,3 +172,38 @@ def test_live_sensors_discovery_and_ids(spark):
     assert got[1]["name"] == "Talkatora Garden" and got[1]["agency"] == "DPCC"
     ids = rd.allocate_ids(found.withColumn("colocated", F.lit(False)), roster)
     assert {r["location_id"]: r["station_id"] for r in ids.collect()} == {1: "DL008", 4: "UP004"}
+
+
+def test_replace_warns_of_lost_rows_and_merge_does_not(spark, tmp_path, caplog):
+    store = st.Store(spark, str(tmp_path))
+    rows = [("a", t, 1.0) for t in hours(20)]
+    make = lambda r: spark.createDataFrame(r, "station_id string, time timestamp, v double")
+    store.write(make(rows), "d")
+    with caplog.at_level("WARNING", logger="skycast.sources.store"):
+        store.write(make(rows[:3]), "d", merge_on=("station_id", "time"))
+        assert not caplog.records and store.scan("d").count() == 20
+        store.write(make(rows[:3]), "d")
+    assert len(caplog.records) == 1 and store.scan("d").count() == 3
+
+
+def test_unreadable_stored_file_is_replaced(spark, tmp_path):
+    store = st.Store(spark, str(tmp_path))
+    make = lambda r: spark.createDataFrame(r, "station_id string, time timestamp, v double")
+    store.write(make([("a", t, 1.0) for t in hours(30)]), "d")
+    broken = next(p for p in sorted((tmp_path / "d").glob("date=*/part-*.parquet")))
+    broken.write_bytes(broken.read_bytes()[:200] + b"x" * 300)
+    for crc in (tmp_path / "d").glob("date=*/.*.crc"):
+        crc.unlink()
+    day = broken.parent.name.removeprefix("date=")
+    store.write(make([("a", t, 2.0) for t in hours(30) if str(t.date()) == day][:5]), "d", merge_on=("station_id", "time"))
+    assert spark.read.parquet(str(broken.parent)).count() == 5
+
+
+def test_both_offset_forms_are_read_and_the_rest_is_counted(spark):
+    raw = spark.createDataFrame(
+        [("a", "2025-11-01T00:45:00+0530", 1.0), ("a", "2025-11-01T00:50:00+05:30", 3.0), ("a", "2025-10-31T19:30:00Z", 5.0), ("b", "2025-11-01T00:45:00", 1.0), ("b", None, 1.0)],
+        "station_id string, datetime string, value double",
+    )
+    got = to_hourly(raw).collect()
+    assert [(r.station_id, r.pm25, r.n_obs) for r in got] == [("a", 3.0, 3)]
+    assert [tuple(r) for r in unread_stamps(raw).collect()] == [("b", 1)]
