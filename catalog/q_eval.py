@@ -18,6 +18,7 @@ from skycast.streaming import hourly as live
 
 from . import frames as fr
 from . import views as vw
+from .q_features import NEAREST_CELL, SURFACE, SURFACE_VALUES
 from .q_models import SMALL, _overlap, baseline_predictions, rows
 from .q_sources import _coverage
 from .registry import query
@@ -247,7 +248,11 @@ def _(spark, sf):
     return products.live_forecast(model, sup, fr.stations(spark, sf), fr.JANUARY, fr.NOW)["city"]
 
 
-@query("v3_surface_for_hour")
+@query(
+    "v3_surface_for_hour",
+    "d:lat=x.lat, d:lon=x.lon, t:time=x.time, d:wind_from_deg=wd, " + SURFACE_VALUES + ", d:distance_to_station_km, nearest_station",
+    SURFACE + " x JOIN " + NEAREST_CELL.format(order="(round(km, 9), station_id)") + " n ON n.lat = x.lat AND n.lon = x.lon WHERE x.time = TIMESTAMP '2024-01-20 06:00:00'",
+)
 def _(spark, sf):
     base = fr.base(spark, sf, False)
     return neighbours.surface_for_hour(base, "2024-01-20 06:00:00", fr.stations(spark, sf), neighbours.domain_grid(spark, fr.JANUARY))

@@ -414,22 +414,25 @@ def _(spark, sf):
     return _corridor(spark, sf).select("time", "upwind_pm25", "upwind_distance_km", "upwind_transport_h", "upwind_alignment")
 
 
-SURFACE = """FROM (SELECT c.lat, c.lon, v.time, sum(w) AS d, sum(w * p) AS dv, sum(w * a) AS u, sum(w * a * p) AS uv FROM (
-    SELECT c.lat, c.lon, s.station_id, exp(-(2 * 6371.0088::DOUBLE * asin(sqrt(pow(sin((radians(s.lat) - radians(c.lat)) / 2), 2)
-        + cos(radians(c.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - c.lon) / 2), 2)))) / 15.0) AS w0,
+GRID = "(SELECT round(28.1::DOUBLE + i * 0.05::DOUBLE, 4) AS lat, round(76.7::DOUBLE + j * 0.05::DOUBLE, 4) AS lon FROM (SELECT unnest(range(21)) AS i), (SELECT unnest(range(21)) AS j))"
+KM = """2 * 6371.0088::DOUBLE * asin(sqrt(pow(sin((radians(s.lat) - radians(c.lat)) / 2), 2)
+        + cos(radians(c.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - c.lon) / 2), 2)))"""
+SURFACE = f"""FROM (SELECT c.lat, c.lon, v.time, max(wd) AS wd, sum(w) AS d, sum(w * p) AS dv, sum(w * a) AS u, sum(w * a * p) AS uv FROM (
+    SELECT c.lat, c.lon, s.station_id, exp(-({KM}) / 15.0) AS w0,
       (degrees(atan2(sin(radians(s.lon - c.lon)) * cos(radians(s.lat)), cos(radians(c.lat)) * sin(radians(s.lat)) - sin(radians(c.lat)) * cos(radians(s.lat)) * cos(radians(s.lon - c.lon)))) + 360.0::DOUBLE) % 360.0::DOUBLE AS b
-    FROM (SELECT round(28.1::DOUBLE + i * 0.25::DOUBLE, 4) AS lat, round(76.7::DOUBLE + j * 0.25::DOUBLE, 4) AS lon FROM (SELECT unnest(range(5)) AS i), (SELECT unnest(range(5)) AS j)) c CROSS JOIN v_stations s) c
+    FROM {GRID} c CROSS JOIN v_stations s) c
   JOIN (SELECT station_id, time, pm25_clean AS p, coalesce(avg(met_wind_direction_10m) OVER (PARTITION BY time), 0.0) AS wd FROM v_base) v ON v.station_id = c.station_id
   CROSS JOIN LATERAL (SELECT w0 AS w, pow(greatest(cos(radians(wd - b)), 0.0), 2) AS a)
   WHERE p IS NOT NULL GROUP BY 1, 2, 3)"""
+SURFACE_VALUES = "d:pm25=CASE WHEN u > 1e-6 THEN uv / u ELSE dv / greatest(d, 1e-9) END, d:pm25_idw=dv / greatest(d, 1e-9)"
+NEAREST_CELL = f"""(SELECT lat, lon, round(min(km), 2) AS distance_to_station_km, arg_min(station_id, {{order}}) AS nearest_station
+  FROM (SELECT c.lat, c.lon, s.station_id, {KM} AS km FROM {GRID} c CROSS JOIN v_stations s) GROUP BY 1, 2)"""
 
 
-@query("g5_surfaces", "t:time, d:lat, d:lon, d:pm25=CASE WHEN u > 1e-6 THEN uv / u ELSE dv / greatest(d, 1e-9) END, d:pm25_idw=dv / greatest(d, 1e-9)", SURFACE)
+@query("g5_surfaces", "t:time, d:lat, d:lon, " + SURFACE_VALUES, SURFACE)
 def _(spark, sf):
-    """Every hour of the record on a five by five grid."""
-    from skycast.functions.geo import grid
-
-    cells = grid(spark, 28.1, 76.7, 29.1, 77.7, 0.25)
+    """Every hour of the record on the grid of the domain."""
+    cells = neighbours.domain_grid(spark, fr.JANUARY)
     return neighbours.surfaces(fr.base(spark, sf, False), fr.stations(spark, sf), cells).where("pm25_idw is not null").select("time", "lat", "lon", "pm25", "pm25_idw")
 
 

@@ -212,7 +212,13 @@ def _(spark, sf):
     return table
 
 
-@query("e14_validity_check")
+# The rows that lead matching reaches, scored under either meteorology.
+VALID = """FROM (SELECT model, meteorology, sqrt(avg(pow(q50 - y, 2))) AS r FROM v_held h
+    SEMI JOIN v_lead l ON l.station_id = h.station_id AND l.time = h.target_time AND l.lead_day = greatest(1, CAST(ceil(h.horizon_h / 24.0) AS INTEGER))
+    CROSS JOIN (SELECT unnest(['archive', 'lead']) AS meteorology) WHERE model IN ('persistence', 'raw-cams') GROUP BY 1, 2) GROUP BY 1"""
+
+
+@query("e14_validity_check", "model, d:moved=max(r) - min(r), valid=max(r) - min(r) <= 0.05", VALID)
 def _(spark, sf):
     table = studies.lead_match_comparison(rows(spark, sf), fr.lead(spark, sf), lambda: [Persistence(), RawForecast()])
     return evaluation.comparable(table)
