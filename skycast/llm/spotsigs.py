@@ -17,8 +17,8 @@ ANCHORS = tuple(
 )
 #: Content words of a chain.
 CHAIN = 3
-#: Ranges of doc_id that the order of documents is cut into.
-RANGES = 128
+#: Ranges of doc_id that the order of documents is cut into: at least so many, more if the session shuffles into more.
+RANGES, MOST_RANGES = 128, 8192
 SIMILARITY = 0.8
 LOWEST = -(2**63)
 
@@ -108,7 +108,7 @@ def _log(x: float) -> float:
     return math.log(min(x, 0.999))
 
 
-def with_next(df: DataFrame, columns: list[str], ranges: int = RANGES) -> DataFrame:
+def with_next(df: DataFrame, columns: list[str], ranges: int | None = None) -> DataFrame:
     """Adds next_<column>: the value in the following row by descending doc_id, for the last row that of the first.
 
     The order is cut into ranges of doc_id at approximate quantiles (``ranges`` numbers to the
@@ -116,16 +116,22 @@ def with_next(df: DataFrame, columns: list[str], ranges: int = RANGES) -> DataFr
     before, so that every row finds its next within its range. Null ids come last; equal ids are
     ordered by the hash of the columns.
     """
+    if ranges is None:
+        ranges = min(MOST_RANGES, max(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     key, part, guest, dealt, tie = (fresh(df, n) for n in ("next_key", "next_part", "next_guest", "next_dealt", "next_tie"))
     keyed = df.withColumn(key, F.coalesce(F.col("doc_id"), F.lit(LOWEST)))
-    got = keyed.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10_000).alias("cuts")).first()
-    cuts = sorted(set(got.cuts or []))
-    place = F.size(F.filter(F.lit(cuts).cast("array<long>"), lambda c: c > F.col(key))) if cuts else F.lit(0)
-    keyed = keyed.withColumn(part, place)
+    got = keyed.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 4 * MOST_RANGES).alias("cuts")).first()
+    cuts = sorted(set(got.cuts or []), reverse=True)
+    keyed = keyed.withColumn(part, _place(cuts, F.col(key)))
     firsts = sorted((r[part], r["first"]) for r in keyed.groupBy(part).agg(F.max(key).alias("first")).collect())
-    hosts = {first: firsts[k - 1][0] for k, (_, first) in enumerate(firsts)}
-    host = F.try_element_at(F.create_map(*[F.lit(x) for pair in hosts.items() for x in pair]).cast("map<long,int>"), F.col(key)) if hosts else F.lit(None).cast("int")
-    spots = F.array(F.struct(F.col(part).alias("part"), F.lit(False).alias("guest")), F.struct(host.alias("part"), F.lit(True).alias("guest")))
+    own, host = [LOWEST] * (len(cuts) + 1), [0] * (len(cuts) + 1)
+    for k, (p, first) in enumerate(firsts):
+        own[p], host[p] = first, firsts[k - 1][0]
+    is_first = F.col(key) == F.get(F.lit(own).cast("array<long>"), F.col(part))
+    spots = F.array(
+        F.struct(F.col(part).alias("part"), F.lit(False).alias("guest")),
+        F.struct(F.when(is_first, F.get(F.lit(host), F.col(part))).alias("part"), F.lit(True).alias("guest")),
+    )
     out = keyed.withColumn(tie, F.xxhash64(*columns)).withColumn(dealt, F.explode(F.filter(spots, lambda s: s["part"].isNotNull())))
     out = out.withColumn(part, F.col(dealt)["part"]).withColumn(guest, F.col(dealt)["guest"])
     order = W.partitionBy(part).orderBy(F.col(guest), F.col(key).desc(), F.col(tie))
@@ -134,6 +140,15 @@ def with_next(df: DataFrame, columns: list[str], ranges: int = RANGES) -> DataFr
     return out.where(~F.col(guest)).drop(key, part, guest, dealt, tie)
 
 
+def _place(cuts: list[int], key: Column) -> Column:
+    """How many of the descending cuts lie above the key, by halving."""
+    if not cuts:
+        return F.lit(0)
+    table, steps = F.lit(cuts).cast("array<long>"), [1 << b for b in reversed(range(len(cuts).bit_length()))]
+    higher = lambda n, step: F.coalesce(F.get(table, n + step - 1) > key, F.lit(False))
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda n, step: F.when(higher(n, step), n + step).otherwise(n))
+
+
 def op6_spotsigs(spark: SparkSession, sf: str) -> DataFrame:
     docs = with_signatures(read(spark, sf, "documents").select("doc_id", text_of().alias("text")), "text", "signatures")
     n = F.col("n_chars")
