@@ -23,11 +23,12 @@ ROMAN = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x")
 
 # Id prefix of each city.
 CITY_PREFIX = {
-    "DL": ("delhi", "new delhi"),
-    "HR": ("gurugram", "faridabad", "sonipat", "rohtak", "palwal", "manesar", "ballabgarh", "dharuhera",
-           "panchgaon", "bahadurgarh"),
-    "UP": ("noida", "greater noida", "ghaziabad", "baghpat", "meerut", "modinagar", "khora", "loni"),
-    "RJ": ("bhiwadi", "alwar"),
+    "delhi": "DL", "new delhi": "DL",
+    "gurugram": "HR", "faridabad": "HR", "sonipat": "HR", "rohtak": "HR", "palwal": "HR", "manesar": "HR",
+    "ballabgarh": "HR", "dharuhera": "HR", "panchgaon": "HR", "bahadurgarh": "HR",
+    "noida": "UP", "greater noida": "UP", "ghaziabad": "UP", "baghpat": "UP", "meerut": "UP", "modinagar": "UP",
+    "khora": "UP", "loni": "UP",
+    "bhiwadi": "RJ", "alwar": "RJ",
 }
 OTHER_PREFIX = "NC"
 
@@ -62,12 +63,8 @@ def city_of(name: Column) -> Column:
 
 
 def prefix_of(city: Column) -> Column:
-    key = F.lower(city)
-    expr = None
-    for prefix, cities in CITY_PREFIX.items():
-        hit = key.isin(*cities)
-        expr = F.when(hit, F.lit(prefix)) if expr is None else expr.when(hit, F.lit(prefix))
-    return expr.otherwise(F.lit(OTHER_PREFIX))
+    prefixes = F.create_map(*(F.lit(x) for pair in CITY_PREFIX.items() for x in pair))
+    return F.coalesce(F.try_element_at(prefixes, F.lower(city)), F.lit(OTHER_PREFIX))
 
 
 def _split_words(text: Column) -> Column:

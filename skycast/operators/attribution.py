@@ -116,25 +116,33 @@ def drivers(model, df: DataFrame, horizon: int, keys: list[str], top: int = 4, d
     )
 
 
+# The wording of an explanation.
+REGIONAL = "CAMS puts the regional level at %.0f µg/m³. "
+NO_DRIVER = "No single driver dominates; the forecast tracks the regional CAMS signal."
+ONE_DRIVER = "Our correction is driven by "
+MORE_DRIVERS = "Our correction is driven mainly by "
+DRIVER = "%s (%s it by %.0f µg/m³)"
+
+
 def explain(detail: DataFrame, context: DataFrame, keys: list[str], top: int = 3, anchor: str = "cams_pm2_5_tgt") -> DataFrame:
     """Every forecast in words: its top drivers and a sentence. Groups are the ten drivers of one row."""
     per = detail.groupBy(*keys, "driver").agg(F.sum("contribution").alias("c"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.abs("c")), "driver"))
     best = per.withColumn("_k", rank).where(F.col("_k") <= top)
     text = F.format_string(
-        "%s (%s it by %.0f µg/m³)", F.col("driver"), F.when(F.col("c") > 0, "raising").otherwise("lowering"), F.abs("c")
+        DRIVER, F.col("driver"), F.when(F.col("c") > 0, "raising").otherwise("lowering"), F.abs("c")
     )
     item = F.struct("_k", "driver", F.col("c").alias("contribution"), F.when(F.abs("c") >= 1.0, text).alias("text"))
     packed = best.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_d"))
     parts = F.filter(F.transform("_d", lambda d: d["text"]), lambda t: t.isNotNull())
     lead = F.when(
         F.col(anchor).isNotNull(),
-        F.format_string("CAMS puts the regional level at %.0f µg/m³. ", F.col(anchor)),
+        F.format_string(REGIONAL, F.col(anchor)),
     ).otherwise("")
     said = (
-        F.when(F.size(parts) == 0, F.lit("No single driver dominates; the forecast tracks the regional CAMS signal."))
-        .when(F.size(parts) == 1, F.concat(lead, F.lit("Our correction is driven by "), parts[0], F.lit(".")))
-        .otherwise(F.concat(lead, F.lit("Our correction is driven mainly by "), F.array_join(parts, ", then "), F.lit(".")))
+        F.when(F.size(parts) == 0, F.lit(NO_DRIVER))
+        .when(F.size(parts) == 1, F.concat(lead, F.lit(ONE_DRIVER), parts[0], F.lit(".")))
+        .otherwise(F.concat(lead, F.lit(MORE_DRIVERS), F.array_join(parts, ", then "), F.lit(".")))
     )
     return context.join(packed, keys).withColumn("sentence", said).withColumn(
         "drivers", F.transform("_d", lambda d: F.struct(d["driver"].alias("driver"), d["contribution"].alias("contribution")))

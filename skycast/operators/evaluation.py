@@ -20,6 +20,7 @@ SETTLE_DAYS = 4
 DRAWS = 2000
 MIN_CLUSTERS = 5
 LOW_VIS_KM = 1.0
+# Probabilities at which a fog alarm is given.
 FOG_THRESHOLDS = (0.05, 0.10, 0.20, 0.30, 0.50)
 
 # Bands of the stratified tables.

@@ -30,6 +30,7 @@ MIN_FOLD_TRAIN, MIN_FOLD_TEST = 5000, 500
 MIN_LOSO_TRAIN = 1000
 MIN_VIS_TRAIN = 500
 STABLE_SHARE = 0.5
+# Column families that carry pollution.
 POLLUTION_PREFIXES = ("cams_", "obs_", "nbr_", "fire_", "pm25")
 
 

@@ -26,7 +26,8 @@ def tune(spark: SparkSession) -> SparkSession:
         "spark.sql.requireAllClusterKeysForCoPartition": "false",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
     }.items():
-        spark.conf.set(key, value)
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return spark
 
 
