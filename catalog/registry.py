@@ -11,6 +11,8 @@ from .frames import clean
 from .views import VIEWS
 
 QUERIES: dict[str, Callable] = {}
+#: The same without the rounding that comparison needs.
+PLAIN: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 
 
@@ -21,6 +23,7 @@ def query(name: str, columns: str | None = None, source: str | None = None) -> C
     anything else as is; ``name=expr`` renames. ``source`` is a FROM clause over the views.
     """
     def wrap(fn: Callable[..., DataFrame]) -> Callable:
+        PLAIN[name] = fn
         QUERIES[name] = lambda spark, sf: clean(fn(spark, sf))
         if source is not None:
             SQL[name] = compose(select_list(columns) + " " + source)
