@@ -62,10 +62,13 @@ class Registry:
         model.pad = ({h: v for h, v in pads.items() if h}, pads[0])
         return model, row["trained_through"]
 
-    def get_or_fit(self, sup: DataFrame, trained_through: dt.date, name: str = "full", **params) -> tuple[Calibrated, dt.date]:
-        """The stored model if it has seen the data up to ``trained_through``, else one fitted on train and calibrated on val rows."""
+    def get_or_fit(self, sup: DataFrame, trained_through: dt.date, name: str = "full", refit: bool = False, **params) -> tuple[Calibrated, dt.date]:
+        """The stored model, or one fitted on train rows and calibrated on val rows.
+
+        With ``refit`` a stored model counts only if it has seen the data up to ``trained_through``.
+        """
         found = self.get(name)
-        if found is not None and found[1] >= trained_through:
+        if found is not None and not (refit and found[1] < trained_through):
             return found
         rows = staged(sup.dropna(subset=["y", "cams_pm2_5_tgt"]).where(F.col("split").isin("train", "val")), "registry")
         model = Calibrated(Corrector(name, **params))
