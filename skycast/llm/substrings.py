@@ -23,9 +23,9 @@ GRAM = 4
 #: A gram of so many bytes says something about where it is from; it goes before shorter ones.
 TELLING = 20
 #: Text bytes of a block, about; a longer document is a block of its own.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 #: Words of the corpus per shard.
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 500_000
 
 U = np.uint64
 
