@@ -6,7 +6,9 @@ import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,17 +21,23 @@ from .common import numbered, on_workers, read, text_of
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
 END_ID = 0
-#: Chunks a worker remembers the ids of; beyond that it forgets all and starts again.
-REMEMBERED = 600_000
+#: Chunks a worker learns before it drops those that it has not met since it last did so.
+REMEMBERED = 200_000
+
+#: Marks that split from a word before them.
+MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+#: What Python's split() takes for white space and the tokenizer does not.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 _MEMO: dict[str, "Memo"] = {}
 
 
 class Memo(dict):
-    """Ids of space-free chunks as little-endian bytes.
+    """Ids of chunks without white space as little-endian bytes, and the chunks of the generation before.
 
     The tokenizer splits at white space before anything else, so a text's ids are those of its
-    chunks between spaces one after the other.
+    chunks between white space one after the other. Words also split from the marks
+    behind them, and their case does not count, so each is encoded once for all its forms.
     """
 
     def __init__(self, path: str):
@@ -37,20 +45,62 @@ class Memo(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.old: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        #: Which ids end a word.
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        if suffix:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self.tails = {"": b""}
+
+    def _others(self, chunks: list[str]) -> list[bytes]:
+        """Any chunks: they come back as one sequence, each id with its chunk's number."""
+        got = self.tokenizer.encode(chunks, is_pretokenized=True, add_special_tokens=False)
+        ids: list[list[int]] = [[] for _ in chunks]
+        for i, w in zip(got.ids, got.word_ids):
+            ids[w].append(i)
+        return [struct.pack(f"<{len(x)}I", *x) for x in ids]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Chunks of letters only: a text's words are then its chunks."""
+        runs = [words[k : k + 200] for k in range(0, len(words), 200)]
+        out: list[bytes] = []
+        for run, got in zip(runs, self.tokenizer.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False)):
+            at = np.array(got.ids, "<u4")
+            ids, ends = at.tobytes(), [0, *(4 * (np.flatnonzero(self.ends[at]) + 1)).tolist()]
+            if len(ends) != len(run) + 1:  # not one word each
+                out += self._others(run)
+            else:
+                out += [ids[i:k] for i, k in zip(ends, ends[1:])]
+        return out
 
     def learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self]
-        if len(self) + len(new) > REMEMBERED:
+        if len(self) > REMEMBERED:
+            self.old = dict(self)
             self.clear()
-            new = list(chunks)
-        # One call for many chunks: they come back as one sequence, each id with its chunk's number.
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = [[] for _ in part]
-            for i, w in zip(got.ids, got.word_ids):
-                ids[w].append(i)
-            self.update((c, struct.pack(f"<{len(x)}I", *x)) for c, x in zip(part, ids))
+        new = [c for c in chunks if c not in self]
+        self.update((c, self.old[c]) for c in new if c in self.old)
+        words: dict[str, int] = {}
+        forms: list[tuple[str, int, str]] = []
+        others = []
+        for c in new:
+            if c in self.old:
+                continue
+            k = c.rstrip(MARKS)
+            if k.isalpha() and (k.isascii() or ("\u03a3" not in k and is_normalized("NFC", k) and k.lower().isalpha())):
+                forms.append((c, words.setdefault(k.lower(), len(words)), c[len(k) :]))
+            else:
+                others.append(c)
+        for k in range(0, len(others), 20_000):
+            self.update(zip(others[k : k + 20_000], self._others(others[k : k + 20_000])))
+        unknown = list({t for _, _, t in forms}.difference(self.tails))
+        if len(self.tails) + len(unknown) > REMEMBERED:
+            self.tails = {"": b""}
+            unknown = list({t for _, _, t in forms if t})
+        self.tails.update(zip(unknown, self._others(unknown)))
+        ids, tails = self._words(list(words)), self.tails
+        self.update((c, ids[w] + tails[t]) for c, w, t in forms)
 
 
 def _memo(path: str) -> Memo:
@@ -62,13 +112,13 @@ def _memo(path: str) -> Memo:
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit integers."""
     memo = _memo(path)
-    split = [t.split(" ") for t in texts]
+    split = [t.split(" ") if any(c in t for c in SEPARATORS) else t.split() for t in texts]
     memo.learn(set().union(*split))
     get = memo.__getitem__
     return [b"".join(map(get, s)) for s in split]
 
 
-def _slices(texts: list[str], most: int = 4_000_000) -> Iterator[slice]:
+def _slices(texts: list[str], most: int = 2_000_000) -> Iterator[slice]:
     """Runs of texts of bounded total length; a longer text stands alone."""
     begin = size = 0
     for k, t in enumerate(texts):
