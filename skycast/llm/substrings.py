@@ -26,6 +26,8 @@ TELLING = 20
 BLOCK_BYTES = 1_000_000
 #: Words of the corpus per shard.
 SHARD_WORDS = 500_000
+#: Windows under one key, about; those of a key with more are routed each by all of its words.
+KEY_WINDOWS = 50_000
 
 U = np.uint64
 
@@ -217,15 +219,16 @@ class Block:
         self.doc = np.searchsorted(self.lines, self.begins)
         self.buf = buf
 
-    def segments(self, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Runs of windows of one document with the same key: first word, number of windows, key.
+    def segments(self, window: int, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of windows of one document with the same key: first word, number of windows, key, and whether it is of one window.
 
         A window's key is the smallest hash of the grams in it, so equal windows have equal keys
-        wherever they stand; neighbouring windows mostly share theirs.
+        wherever they stand; neighbouring windows mostly share theirs. Each window whose key is in ``hot``
+        is a run of its own, and its key the hash of all its words.
         """
         n = len(self.begins)
         if n < window:
-            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, U)
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, U), np.empty(0, bool)
         total = np.concatenate([np.zeros(1, U), np.cumsum((self.buf.astype(U) + U(1)) * _powers(_BASE, len(self.buf)), dtype=U)])
         h = _mix((total[self.ends] - total[self.begins]) * _powers(_BACK, len(self.buf))[self.begins])
         gram = min(GRAM, window)
@@ -241,10 +244,17 @@ class Block:
             have += step
         starts = np.flatnonzero(self.doc[: n - window + 1] == self.doc[window - 1 :])
         keys, docs = g[starts], self.doc[starts]
+        single = np.isin(keys, hot) if hot is not None and len(hot) else np.zeros(len(keys), bool)
+        if single.any():
+            at = starts[single]
+            whole = h[at]
+            for k in range(1, window):
+                whole = whole * U(0xC2B2AE3D27D4EB4F) + h[at + k]
+            keys[single] = _mix(whole)
         new = np.ones(len(starts), bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
+        new[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1]) | single[1:] | single[:-1]
         first = np.flatnonzero(new)
-        return starts[first], np.diff(np.append(first, len(starts))), keys[first]
+        return starts[first], np.diff(np.append(first, len(starts))), keys[first], single[first]
 
     def segment_text(self, first: int, windows: int, window: int) -> bytes:
         return self.text[self.begins[first] : self.ends[first + windows + window - 2]]
@@ -285,21 +295,49 @@ def _open(ids: list[int], packed: bytes) -> Block:
     return Block(zstandard.ZstdDecompressor().decompress(packed), np.array(ids, np.int64))
 
 
-def _by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+def _by_shard(shard: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
     """An order by shard (kept within), and the shards present with their slice of it."""
-    shard = (keys % U(shards)).astype(np.int64)
     order = np.argsort(shard, kind="stable")
     at = np.flatnonzero(np.diff(shard[order], prepend=-1))
     return order, [(int(shard[order[a]]), slice(int(a), int(b))) for a, b in zip(at, np.append(at[1:], len(order)))]
 
 
-def _alive(block: Block, keys: np.ndarray, window: int, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]]:
-    """Per shard: the block's segments whose key is in ``keys`` (first word, windows), which distinct text each
+@dataclass
+class Routes:
+    """Numbers of shards: first those of keys, then those of single windows."""
+
+    keys: int
+    windows: int = 1
+
+    def of(self, key: np.ndarray, single: np.ndarray) -> np.ndarray:
+        return np.where(single, U(self.keys) + key % U(self.windows), key % U(self.keys)).astype(np.int64)
+
+
+@dataclass
+class Shared:
+    """What other documents share with a block: keys, the hot ones, and single windows under these."""
+
+    keys: np.ndarray
+    hot: np.ndarray
+    windows: np.ndarray
+
+    @staticmethod
+    def of(table: pa.Table, routes: Routes) -> Shared:
+        made: list[list[np.ndarray]] = [[np.empty(0, U)] for _ in range(3)]
+        for shard, keys, hot in zip(*(table[c].to_pylist() for c in ("shard", "keys", "hot"))):
+            if keys is not None:
+                made[2 if shard >= routes.keys else 0].append(np.frombuffer(keys, U))
+                made[1].append(np.frombuffer(hot, U))
+        return Shared(*map(np.concatenate, made))
+
+
+def _alive(block: Block, mine: Shared, window: int, routes: Routes) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]]:
+    """Per shard: the block's segments that ``mine`` holds (first word, windows), which distinct text each
     has, the distinct texts in order of appearance, and the smallest document of each."""
-    first, windows, key = block.segments(window)
-    hit = np.isin(key, keys)
-    first, windows, key = first[hit], windows[hit], key[hit]
-    order, parts = _by_shard(key, shards)
+    first, windows, key, single = block.segments(window, mine.hot)
+    hit = np.where(single, np.isin(key, mine.windows), np.isin(key, mine.keys))
+    first, windows, key, single = first[hit], windows[hit], key[hit], single[hit]
+    order, parts = _by_shard(routes.of(key, single))
     for shard, part in parts:
         own = order[part]
         texts: dict[bytes, int] = {}
@@ -309,16 +347,75 @@ def _alive(block: Block, keys: np.ndarray, window: int, shards: int) -> Iterator
         yield shard, first[own], windows[own], np.array(which, np.int64), list(texts), low
 
 
-def repeated(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame, int]:
-    """(blocks, found, shards): the corpus in blocks, and per block and shard the keys that more than one document
+def _sent(block: Block, number: int, window: int, routes: Routes, hot: np.ndarray | None = None) -> pa.RecordBatch:
+    """A block's keys by shard, those of single windows only if there are ``hot`` ones: each at most twice, for the
+    first two documents that have it. ``sizes``: 1 + log2 (upwards) of the block's windows under the key, then 0."""
+    first, windows, key, single = block.segments(window, hot)
+    if hot is not None:
+        first, windows, key, single = first[single], windows[single], key[single], single[single]
+    doc = block.doc[first]
+    order = np.lexsort((doc, key))
+    key, doc, windows = key[order], doc[order], windows[order]
+    new_key = np.diff(key, prepend=~key[:1]) != 0
+    runs = np.flatnonzero(new_key)
+    sizes = np.zeros(len(key), np.uint8)
+    sizes[runs] = 1 + np.ceil(np.log2(np.add.reduceat(windows, runs))) if len(runs) else 0
+    other = np.ones(len(key), bool)
+    other[1:] = new_key[1:] | (doc[1:] != doc[:-1])
+    key, new_key, sizes = key[other], new_key[other], sizes[other]
+    # the first two documents of each key stand for all of the block
+    keep = new_key.copy()
+    keep[1:] |= new_key[:-1]
+    key, sizes = key[keep], sizes[keep]
+    order, parts = _by_shard(routes.of(key, np.full(len(key), hot is not None)))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([s for s, _ in parts], pa.int32()), pa.array([number] * len(parts), pa.int64()),
+            pa.array([key[order[p]].tobytes() for _, p in parts], pa.binary()), pa.array([sizes[order[p]].tobytes() for _, p in parts], pa.binary()),
+        ],
+        ["shard", "block", "keys", "sizes"],
+    )
+
+
+def _shared(table: pa.Table, most: int | None) -> pa.Table:
+    """Of the keys that blocks sent to a shard those that two documents have, per block. Those of more than ``most``
+    windows in all are ``hot``, not ``keys``; ``hot_windows`` is about how many the block has of them."""
+    each = [np.frombuffer(x, U) for x in table["keys"].to_pylist()]
+    owner = np.repeat(np.arange(len(each)), [len(x) for x in each])
+    key = np.concatenate([np.empty(0, U), *each])
+    code = np.concatenate([np.empty(0, np.uint8), *(np.frombuffer(x, np.uint8) for x in table["sizes"].to_pylist())]).astype(np.int64)
+    size = np.where(code > 0, np.int64(1) << np.maximum(code - 1, 0), 0)
+    order = np.argsort(key, kind="stable")
+    key, owner, size = key[order], owner[order], size[order]
+    same = np.zeros(len(key), bool)
+    same[1:] = key[1:] == key[:-1]
+    same[:-1] |= same[1:]
+    key, owner, size = key[same], owner[same], size[same]
+    runs = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0)
+    total = np.add.reduceat(size, runs) if len(runs) else size
+    hot = np.repeat(total, np.diff(np.append(runs, len(key)))) > most if most is not None else np.zeros(len(key), bool)
+    order = np.argsort(owner, kind="stable")
+    key, hot, size, ends = key[order], hot[order], size[order], np.searchsorted(owner[order], np.arange(len(each) + 1))
+    parts = [(key[a:b], hot[a:b], size[a:b]) for a, b in zip(ends, ends[1:])]
+    out = table.select(["shard", "block"]).append_column("keys", pa.array([np.unique(k[~h]).tobytes() for k, h, _ in parts], pa.binary()))
+    out = out.append_column("hot", pa.array([np.unique(k[h]).tobytes() for k, h, _ in parts], pa.binary()))
+    out = out.append_column("hot_windows", pa.array([int(n[h].sum()) for _, h, n in parts], pa.int64()))
+    return out.filter(pa.array([len(k) > 0 for k, _, _ in parts], pa.bool_()))
+
+
+def repeated(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, key_windows: int = KEY_WINDOWS) -> tuple[DataFrame, DataFrame, Routes]:
+    """(blocks, found, routes): the corpus in blocks, and per block and shard the keys that more than one document
     has and the smallest document of each window under them.
 
     1. Blocks of documents (compressed) are written once.
     2. Every window has a key; each block sends its keys, at most twice each, to the key's shard, and
        learns which of them another document has. Others can not repeat and stay where they are.
-    3. For the rest each block sends its distinct segments, with their smallest document, to the shard, which
-       indexes them and streams them through the index. A passage that very many documents
-       share thus arrives once per block, not once per document.
+    3. A key with more than about ``key_windows`` windows (a short line in very many documents, each time with
+       other neighbours) does not go to one shard: the hashes of its windows are sent and answered as the keys were, to
+       shards of their own, as many as the windows need.
+    4. For the rest each block sends its distinct segments (single windows under such keys), with their smallest
+       document, to the shard, which indexes them and streams them through the index. A window that very
+       many documents share thus arrives once per block, not once per document.
     """
     spark = docs.sparkSession
     on_workers(spark)
@@ -326,53 +423,37 @@ def repeated(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WOR
     blocks = staged(rows.mapInArrow(_pack, "block long, ids array<long>, words long, text binary"), "blocks")
     shards = max(1, -(-(blocks.agg(F.sum("words")).first()[0] or 0) // shard_words))
 
+    routes = Routes(shards)
+
     def send_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for number, ids, packed in zip(*(b.column(k).to_pylist() for k in range(3))):
-                block = _open(ids, packed)
-                first, _, key = block.segments(window)
-                doc = block.doc[first]
-                order = np.lexsort((doc, key))
-                key, doc = key[order], doc[order]
-                new_key = np.diff(key, prepend=~key[:1]) != 0
-                other = np.ones(len(key), bool)
-                other[1:] = new_key[1:] | (doc[1:] != doc[:-1])
-                key, new_key = key[other], new_key[other]
-                # the first two documents of each key stand for all of the block
-                keep = new_key.copy()
-                keep[1:] |= new_key[:-1]
-                key = key[keep]
-                order, parts = _by_shard(key, shards)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([s for s, _ in parts], pa.int32()), pa.array([number] * len(parts), pa.int64()), pa.array([key[order[p]].tobytes() for _, p in parts], pa.binary())],
-                    ["shard", "block", "keys"],
-                )
-
-    def shared(_: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        each = [np.frombuffer(x, U) for x in table["keys"].to_pylist()]
-        owner = np.repeat(np.arange(len(each)), [len(x) for x in each])
-        key = np.concatenate([np.empty(0, U), *each])
-        order = np.argsort(key, kind="stable")
-        key, owner = key[order], owner[order]
-        same = np.zeros(len(key), bool)
-        same[1:] = key[1:] == key[:-1]
-        same[:-1] |= same[1:]
-        key, owner = key[same], owner[same]
-        order = np.argsort(owner, kind="stable")
-        key, ends = key[order], np.searchsorted(owner[order], np.arange(len(each) + 1))
-        kept = [np.unique(key[a:b]).tobytes() for a, b in zip(ends, ends[1:])]
-        out = table.select(["shard", "block"]).append_column("keys", pa.array(kept, pa.binary()))
-        return out.filter(pa.array([bool(k) for k in kept], pa.bool_()))
+                yield _sent(_open(ids, packed), number, window, routes)
 
     plain = blocks.select("block", "ids", "text")
-    keys = plain.mapInArrow(send_keys, "shard int, block long, keys binary")
-    alive = staged(keys.groupBy("shard").applyInArrow(shared, "shard int, block long, keys binary"), "keys")
+    sent, answer = "shard int, block long, keys binary, sizes binary", "shard int, block long, keys binary, hot binary, hot_windows long"
+    keys = plain.mapInArrow(send_keys, sent)
+    alive = staged(keys.groupBy("shard").applyInArrow(lambda _, table: _shared(table, key_windows), answer), "keys")
+    hot_windows = alive.agg(F.sum("hot_windows")).first()[0] or 0
+    if hot_windows:
+        routes = Routes(shards, -(-hot_windows * window // shard_words))
+
+        def send_windows(left: pa.Table, right: pa.Table) -> pa.Table:
+            made = []
+            if right.num_rows:
+                hot = Shared.of(right, routes).hot
+                made = [_sent(_open(ids, packed), number, window, routes, hot) for number, ids, packed in zip(*(left[c].to_pylist() for c in ("block", "ids", "text")))]
+            return pa.Table.from_batches(made, pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("sizes", pa.binary())]))
+
+        asking = alive.where("hot_windows > 0")
+        singles = plain.groupBy("block").cogroup(asking.groupBy("block")).applyInArrow(send_windows, sent)
+        alive = alive.unionByName(staged(singles.groupBy("shard").applyInArrow(lambda _, table: _shared(table, None), answer), "single-windows"))
+    alive = alive.drop("hot_windows")
 
     def send_segments(left: pa.Table, right: pa.Table) -> pa.Table:
         made: list[list] = [[], [], [], []]
         for number, ids, packed in zip(*(left[c].to_pylist() for c in ("block", "ids", "text"))) if right.num_rows else ():
-            mine = np.concatenate([np.frombuffer(x, U) for x in right["keys"].to_pylist()])
-            for shard, _, _, _, texts, low in _alive(_open(ids, packed), mine, window, shards):
+            for shard, _, _, _, texts, low in _alive(_open(ids, packed), Shared.of(right, routes), window, routes):
                 for c, v in zip(made, (shard, number, texts, low.tolist())):
                     c.append(v)
             break  # rows of one number are the same block
@@ -392,11 +473,11 @@ def repeated(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WOR
 
     asked = plain.groupBy("block").cogroup(alive.groupBy("block")).applyInArrow(send_segments, "shard int, block long, texts array<binary>, docs array<long>")
     found = asked.groupBy("shard").applyInArrow(search, "shard int, block long, mins binary")
-    both = alive.withColumn("mins", F.lit(None).cast("binary")).unionByName(found.withColumn("keys", F.lit(None).cast("binary")))
-    return plain, staged(both, "windows"), shards
+    both = alive.withColumn("mins", F.lit(None).cast("binary")).unionByName(found.withColumns({c: F.lit(None).cast("binary") for c in ("keys", "hot")}))
+    return plain, staged(both, "windows"), routes
 
 
-def spans(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+def spans(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, key_windows: int = KEY_WINDOWS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, text_key, spans: for every row, the words that repeat an earlier document.
 
     A word goes if a window of ``window`` words that covers it also starts in a document with a
@@ -405,7 +486,7 @@ def spans(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS)
     with a null doc_id come before and after no other: they keep all words. Rows that repeat an id
     do not repeat each other. An empty table stays empty.
     """
-    blocks, found, shards = repeated(docs, window, shard_words)
+    blocks, found, routes = repeated(docs, window, shard_words, key_windows)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, text_key long, spans array<struct<begin:int,end:int>>"
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "text_key", "spans"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))]
@@ -413,12 +494,11 @@ def spans(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS)
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
         mins = {s: np.frombuffer(m, "<i8") for s, m in zip(right["shard"].to_pylist(), right["mins"].to_pylist()) if m is not None}
-        own_keys = [np.frombuffer(k, U) for k in right["keys"].to_pylist() if k is not None]
-        keys = np.concatenate([np.empty(0, U), *own_keys])
+        mine = Shared.of(right, routes)
         for ids, packed in zip(left["ids"].to_pylist(), left["text"].to_pylist()):
             block = _open(ids, packed)
             cover = np.zeros(len(block.begins) + 1, np.int32)
-            for shard, first, windows, which, texts, _ in _alive(block, keys, window, shards):
+            for shard, first, windows, which, texts, _ in _alive(block, mine, window, routes):
                 size = np.array([t.count(b" ") + 2 - window for t in texts], np.int64)
                 base = np.concatenate([[0], np.cumsum(size)])[which]
                 # every window of every segment

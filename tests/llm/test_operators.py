@@ -482,6 +482,19 @@ def test_removed_words_are_those_of_the_definition(spark, monkeypatch):
     assert substrings.spans(docs.limit(0)).count() == 0
 
 
+def test_a_line_in_many_documents_loads_no_shard(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "BLOCK_BYTES", 3_000)
+    line, passage = "sharedline0 sharedline1 sharedline2 sharedline3 sharedline4 sharedline5", prose(77, 40)
+    rows = [(i, f"{prose(1000 + i, 30)} {line} {passage + ' ' if i % 20 == 0 else ''}{prose(3000 + i, 30)}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = substrings.spans(docs, shard_words=4_000, key_windows=200).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(slow_spans(rows))
+    assert sum(r.n_removed for r in got) > 500
+    _, found, routes = substrings.repeated(docs, shard_words=4_000, key_windows=200)
+    windows = {r["shard"]: r["n"] / 8 for r in found.groupBy("shard").agg(F.sum(F.length("mins")).alias("n")).collect() if r["n"]}
+    assert max(windows.values()) < 400 and any(s >= routes.keys for s in windows)  # the line alone has about 2,000
+
+
 def test_text_keeps_what_is_not_repeated(spark):
     rows = [(i, t, len(t or "")) for i, t in repeating_rows()]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").withColumn("spans", F.lit("own"))
