@@ -196,6 +196,11 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, seed: int = SEED, radius:
     fingerprint 0 and are linked like any other. A null doc_id belongs to its group but never names it,
     unless all ids of the group are null; repeated rows give repeated rows, an empty table none.
     """
+    return _grouped(docs, size, seed, radius).select("doc_id", "fp", "component_id")
+
+
+def _grouped(docs: DataFrame, size: int, seed: int, radius: int) -> DataFrame:
+    """``near_groups`` with ``root``, the fingerprint that names the group: two groups may have one component_id if ids repeat."""
     own = staged(with_fingerprint(docs.select("doc_id", "text"), "fp", size, seed).drop("text"), "simhash")
     nodes = staged(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
     roots = components(linked(nodes.select("fp"), radius))
@@ -203,21 +208,29 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, seed: int = SEED, radius:
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = staged(named, "simhash-roots")
     group = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = named.join(group, "root").select("fp", "component_id")
-    return own.join(by_fp.hint("shuffle_merge"), "fp").select("doc_id", "fp", "component_id")
+    by_fp = named.join(group, "root").select("fp", "root", "component_id")
+    return own.join(by_fp.hint("shuffle_merge"), "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The documents with the smallest id of their group, all columns as they were; of rows that repeat that id, one.
+    """The documents with the smallest id of their group, all columns as they were; of a group's rows that repeat that id, one.
 
-    Rows with a null doc_id stay only if no row of their group has one, and then all of them do.
+    Rows with a null doc_id stay only if no row of their group has one, and then all of them do. An id
+    whose rows have different fingerprints is looked up by its fingerprints, any other by itself.
     """
-    groups = near_groups(docs, size, SEED, radius)
-    name = fresh(docs, "first")
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
-    null = kept.where(F.col("doc_id").isNull())
-    return kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(null)
+    groups = _grouped(docs, size, SEED, radius)
+    name, many, print_, root, tie = (fresh(docs, n) for n in ("first", "many", "fp", "root", "tie"))
+    names_it = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ids = groups.groupBy(F.col("doc_id").alias(name)).agg((F.min("fp") < F.max("fp")).alias(many), F.bool_or(names_it).alias(tie)).where(F.col(tie)).drop(tie)
+    one = docs.join(ids.where(~F.col(many)), F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
+    null = one.where(F.col("doc_id").isNull())
+    one = one.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(null)
+    # ids with different texts
+    odd = with_fingerprint(docs.join(ids.where(many), F.col("doc_id").eqNullSafe(F.col(name)), "left_semi"), print_, size, SEED)
+    first = groups.where(names_it).select(F.col("doc_id").alias(name), F.col("fp").alias(many), F.col("root").alias(root)).distinct()
+    odd = odd.join(first, F.col("doc_id").eqNullSafe(F.col(name)) & (F.col(print_) == F.col(many)))
+    odd = odd.withColumn(tie, F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    return one.unionByName(odd.dropDuplicates([root, "doc_id", tie]).select(*docs.columns))
 
 
 def op5_simhash_groups(spark: SparkSession, sf: str) -> DataFrame:

@@ -277,6 +277,14 @@ def test_components_of_chains_and_stars(spark):
     assert got == want
 
 
+def test_each_group_keeps_a_row_if_an_id_has_different_texts(spark):
+    a, b, c = prose(1, 200), prose(2, 200), prose(3, 200)
+    rows = [(1, a), (1, b), (1, b), (2, a), (3, b), (0, c), (1, c), (4, c), (None, a), (None, prose(5, 200)), (None, prose(5, 200))]
+    out = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, out.collect()), key=key) == sorted([(1, a), (1, b), (0, c), (None, prose(5, 200)), (None, prose(5, 200))], key=key)
+
+
 def test_groups_take_the_smallest_id_and_keep_one(spark):
     t = prose(9, 400)
     texts = [prose(1, 50), t, t + " ", t.upper(), None, "", " ", prose(2, 50)]
