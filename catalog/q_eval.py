@@ -10,7 +10,7 @@ from skycast.functions.aqi import observed_stage
 from skycast.functions.distribution import stage_probabilities
 from skycast.operators import city, evaluation, neighbours
 from skycast.operators.metrics import horizon_table, score
-from skycast.operators.models import Calibrated, Corrector, RawForecast
+from skycast.operators.models import Calibrated, Corrector
 from skycast.plans import products
 from skycast.session import scratch
 from skycast.sources.store import Store
@@ -19,7 +19,7 @@ from skycast.streaming import hourly as live
 from . import frames as fr
 from . import views as vw
 from .q_features import NEAREST_CELL, SURFACE, SURFACE_VALUES
-from .q_models import SMALL, _overlap, baseline_predictions, rows
+from .q_models import _overlap, baseline_predictions, rows
 from .q_sources import _coverage
 from .registry import query
 
@@ -198,7 +198,7 @@ def _(spark, sf):
     """The day before last, 24 h ahead, with a small corrector."""
     src = fr.sources(spark, sf)
     r = rows(spark, sf).where("horizon_h = 24")
-    model = Calibrated(Corrector("full", **SMALL)).fit(r.where("split = 'train'")).calibrate(r.where("split = 'val'"))
+    model = Calibrated(Corrector("full")).fit(r.where("split = 'train'")).calibrate(r.where("split = 'val'"))
     window = products.replay_rows(src, dt.date(2024, 1, 29), 24, fr.JANUARY)
     return products.replay(model, window, fr.JANUARY, 24)["city_series"]
 
@@ -243,7 +243,8 @@ def _(spark, sf):
 @query("v2_live_forecast")
 def _(spark, sf):
     _, base = _live(spark, sf)
-    model = RawForecast().fit(rows(spark, sf).where("split = 'train'"))
+    r = rows(spark, sf)
+    model = Calibrated(Corrector("full")).fit(r.where("split = 'train'")).calibrate(r.where("split = 'val'"))
     sup = products.live_supervised(base, fr.JANUARY.horizons)
     return products.live_forecast(model, sup, fr.stations(spark, sf), fr.JANUARY, fr.NOW)["city"]
 

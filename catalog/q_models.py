@@ -19,7 +19,6 @@ from skycast.session import tune as tune_session
 from . import frames as fr
 from .registry import query
 
-SMALL = {"trees": 4, "depth": 4, "min_leaf": 20}
 KEYS = ["station_id", "issue_time"]
 MODEL_ROW = "station_id, t:issue_time, i:horizon_h, d:q10, d:q50, d:q90"
 
@@ -93,26 +92,26 @@ def _(spark, sf):
 @query("m05_corrector")
 def _(spark, sf):
     r = rows(spark, sf)
-    m = Corrector("full", **SMALL).fit(r.where("split = 'train'"))
+    m = Corrector("full").fit(r.where("split = 'train'"))
     return m.predict(r.where("split = 'test'")).select("station_id", "issue_time", "horizon_h", "y", "q10", "q50", "q90")
 
 
 @query("m06_importance")
 def _(spark, sf):
-    m = Corrector("full", **SMALL).fit(rows(spark, sf).where("split = 'train' AND horizon_h = 72"))
+    m = Corrector("full").fit(rows(spark, sf).where("split = 'train' AND horizon_h = 72"))
     return m.importance_frame(spark, 72)
 
 
 @query("m07_coupled")
 def _(spark, sf):
     r = rows(spark, sf)
-    m = Coupled(**SMALL).fit(r.where("split = 'train'"))
+    m = Coupled().fit(r.where("split = 'train'"))
     return m.predict(r.where("split = 'test'")).select("station_id", "issue_time", "horizon_h", "y", "q10", "q50", "q90")
 
 
 def _explained(spark, sf):
     r = rows(spark, sf).where("horizon_h = 72")
-    m = Corrector("full", **SMALL).fit(r.where("split = 'train'"))
+    m = Corrector("full").fit(r.where("split = 'train'"))
     return m, r.where("split = 'test'")
 
 
@@ -139,8 +138,7 @@ def _(spark, sf):
 @query("m12_tune")
 def _(spark, sf):
     r = rows(spark, sf)
-    space = {"trees": (2, 4), "depth": (3, 4), "min_leaf": (20, 40)}
-    return tune(r.where("split = 'train'"), r.where("split = 'val'"), trials=3, space=space)
+    return tune(r.where("split = 'train'"), r.where("split = 'val'"))
 
 
 OFFSET = "i:lead_day, d:offset=-avg(delta) FILTER (WHERE settled), i:settled_days=(SELECT count(DISTINCT issue_date) FROM v_overlap WHERE settled), i:needed=20, ready=true"
@@ -157,7 +155,7 @@ def _(spark, sf):
     r = rows(spark, sf)
     through = r.agg(F.max(F.to_date("target_time"))).first()[0]
     reg = Registry(spark, scratch(spark, "models"))
-    reg.get_or_fit(r, through, **SMALL)
+    reg.get_or_fit(r, through)
     model, _ = reg.get_or_fit(r, through)
     return model.predict(r.where("split = 'test'")).select("station_id", "issue_time", "horizon_h", "q10", "q50", "q90")
 
@@ -167,17 +165,9 @@ def _overlap(spark, sf):
 
 
 # -- evaluations on fits ----------------------------------------------------
-def _models():
-    best = Corrector("full+upwind", **SMALL)
-    return [
-        *_baselines(), Corrector("full (no fires)", drop_prefixes=("upwind_", "fire_"), **SMALL), Corrector("full", drop_prefixes=("upwind_",), **SMALL),
-        best, Coupled("coupled", **SMALL), Calibrated(best),
-    ]
-
-
 @query("e03_ablation")
 def _(spark, sf):
-    table, _ = studies.ablation(fr.supervised(spark, sf), _models())
+    table, _ = studies.ablation(fr.supervised(spark, sf))
     return table
 
 
@@ -185,29 +175,27 @@ def _(spark, sf):
 def _(spark, sf):
     r = rows(spark, sf)
     train, held = r.where("split = 'train'"), r.where("split = 'test'")
-    a, b = Corrector("full", drop_prefixes=("upwind_",), **SMALL).fit(train), Corrector("full+upwind", **SMALL).fit(train)
-    return studies.corridor_strata(held, a, b, min_rows=20)
+    a, b = Corrector("full", drop_prefixes=("upwind_",)).fit(train), Corrector("full+upwind").fit(train)
+    return studies.corridor_strata(held, a, b)
 
 
 @query("e12_stage_evaluation")
 def _(spark, sf):
     base = fr.base(spark, sf)
     sup = city_supervised(base, fr.JANUARY, fr.stations(spark, sf))
-    return studies.stage_evaluation(sup, fr.JANUARY, **SMALL)["table"]
+    return studies.stage_evaluation(sup, fr.JANUARY)["table"]
 
 
 @query("e13_leave_one_out")
 def _(spark, sf):
     cfg, roster = fr.JANUARY, fr.stations(spark, sf)
     held = roster.select(F.col("station_id").alias("held_out"))
-    return studies.leave_one_out(fr.base(spark, sf), roster, cfg, held, min_train=200, **SMALL)
+    return studies.leave_one_out(fr.base(spark, sf), roster, cfg, held)
 
 
 @query("e14_lead_match_comparison")
 def _(spark, sf):
-    models = lambda: [Persistence(), RawForecast(), Corrector("full", drop_prefixes=("upwind_",), **SMALL)]
-    table = studies.lead_match_comparison(rows(spark, sf), fr.lead(spark, sf), models)
-    return table
+    return studies.lead_match_comparison(rows(spark, sf), fr.lead(spark, sf))
 
 
 # The rows that lead matching reaches, scored under either meteorology.
@@ -225,14 +213,12 @@ def _(spark, sf):
 @query("e17_visibility_coupling")
 def _(spark, sf):
     sup = studies.visibility_supervised(fr.base(spark, sf), fr.JANUARY, fr.stations(spark, sf))
-    return studies.visibility_evaluation(sup, min_train=50, min_band=5, **SMALL)["table"]
+    return studies.visibility_evaluation(sup)["table"]
 
 
 @query("e22_rolling_origin")
 def _(spark, sf):
-    cfg, sup = fr.JANUARY, rows(spark, sf)
-    models = lambda: [Persistence(), RawForecast(), Corrector("full+upwind", **SMALL)]
-    return studies.rolling_origin(sup, cfg, scratch(spark, "rolling"), models, min_train=200, min_test=100).drop("observed_mean")
+    return studies.rolling_origin(rows(spark, sf), fr.JANUARY, scratch(spark, "rolling"), lead=fr.lead(spark, sf)).drop("observed_mean")
 
 
 @query("e22_lead_coverage", "i:rows=count(*), d:share=avg(CASE WHEN l.temperature_2m IS NOT NULL THEN 1.0 ELSE 0.0 END), row_for_row=avg(CASE WHEN l.temperature_2m IS NOT NULL THEN 1.0 ELSE 0.0 END) >= 0.999",

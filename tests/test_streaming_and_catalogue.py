@@ -1,4 +1,5 @@
 import datetime as dt
+from unittest.mock import MagicMock
 
 import duckdb
 import pytest
@@ -106,3 +107,24 @@ def test_entry_runs(spark):
     import __spark_entry__ as spec
 
     assert spec.entry(spark).count() >= 0
+
+
+def test_fitted_queries_ask_for_the_whole_studies(spark, monkeypatch):
+    from catalog import frames, q_eval, q_models, registry
+    from catalog.registry import QUERIES
+
+    studies, tuned = MagicMock(), MagicMock()
+    studies.ablation.return_value = (MagicMock(), [])
+    for name, value in {"studies": studies, "tune": tuned, "rows": MagicMock(), "fr": MagicMock(), "city_supervised": MagicMock(), "scratch": MagicMock()}.items():
+        monkeypatch.setattr(q_models, name, value)
+    monkeypatch.setattr(frames, "clean", lambda df: df)
+    monkeypatch.setattr(registry, "clean", lambda df: df, raising=False)
+    for name in ("e03_ablation", "e12_stage_evaluation", "e13_leave_one_out", "e14_lead_match_comparison", "e17_visibility_coupling", "m12_tune", "e22_rolling_origin"):
+        QUERIES[name](None, "")
+    # neither models nor parameters nor guards of their own
+    shapes = {"ablation": 1, "stage_evaluation": 2, "leave_one_out": 4, "lead_match_comparison": 2, "visibility_evaluation": 1, "rolling_origin": 3}
+    for name, n in shapes.items():
+        call = getattr(studies, name).call_args
+        assert len(call.args) == n and set(call.kwargs) == ({"lead"} if name == "rolling_origin" else set())
+    assert len(tuned.call_args.args) == 2 and not tuned.call_args.kwargs
+    assert not hasattr(q_models, "SMALL") and not hasattr(q_eval, "SMALL")
