@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import compress
 
 import numpy as np
@@ -100,6 +101,7 @@ class FMIndex:
             prefix = order
         order = prefix if prefix is not None else np.argsort(rank, kind="stable")
         self.blocks = rank[order]  # of rows: which window they begin with
+        self._text, self._order, self._edges = text, order, {}
         self.window = window
         starts = np.flatnonzero(np.diff(self.blocks, prepend=-1))
         self.begins, self.ends = starts, np.append(starts[1:], n)
@@ -115,13 +117,37 @@ class FMIndex:
         s = self.start[symbol]
         return self.first[symbol] + self.matrix.rank(symbol, l, s), self.first[symbol] + self.matrix.rank(symbol, r, s)
 
+    @cached_property
+    def common(self) -> np.ndarray:
+        """How many words (``window`` at most) each row has in common with the one before; 0 for the first and behind the last."""
+        out = np.zeros(len(self._order) + 1, np.int64)
+        text = np.concatenate([self._text, np.full(self.window, -1)])
+        same = np.ones(max(0, len(self._order) - 1), bool)
+        for k in range(self.window):
+            words = text[self._order + k]
+            same &= (words[1:] == words[:-1]) & (words[1:] >= 0)
+            out[1:-1] += same
+        return out
+
+    def shorter(self, l: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """From the rows of a pattern to those of its longest beginning that has more rows, and how many words that has."""
+        keep = np.maximum(self.common[l], self.common[r])
+        a, b = l.copy(), r.copy()
+        for k in np.unique(keep).tolist():
+            if k not in self._edges:
+                self._edges[k] = np.append(np.flatnonzero(self.common[:-1] < k), len(self.blocks)) if k else np.array([0, len(self.blocks)])
+            edges, of = self._edges[k], keep == k
+            at = np.searchsorted(edges, l[of], side="right")
+            a[of], b[of] = edges[at - 1], edges[at]
+        return a, b, keep
+
     def statistics(self, text: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """For each window of each text, in order, the smallest value of the texts that hold it; the largest int64 where none does.
 
         All texts are streamed backwards at once. The first ``window`` words build up a pattern; from
         then on each further word gives a pattern one word longer, whose last word is dropped by
-        widening its rows to all that begin with the same window. Where nothing matches, the
-        pattern starts again at the word before.
+        widening its rows to all that begin with the same window. Where a word does not fit in front, last
+        words are dropped until it does; if it stands nowhere, the pattern starts again at the word before.
         """
         windows = lengths - self.window + 1
         offset = np.concatenate([[0], np.cumsum(windows)])
@@ -133,9 +159,16 @@ class FMIndex:
             live = live[lengths[live] > back]
             at = lengths[live] - 1 - back
             symbol = text[begins[live] + at]
-            a, b = self.step(symbol, l[live], r[live])
+            low, high, length = l[live], r[live], matched[live] + 1
+            a, b = self.step(symbol, low, high)
+            lost = np.flatnonzero((a >= b) & (length > 1))
+            while len(lost):
+                low[lost], high[lost], keep = self.shorter(low[lost], high[lost])
+                a[lost], b[lost] = self.step(symbol[lost], low[lost], high[lost])
+                length[lost] = keep + 1
+                lost = lost[(a[lost] >= b[lost]) & (keep > 0)]
             some = a < b
-            length = np.where(some, matched[live] + 1, 0)
+            length[~some] = 0
             full = length >= self.window
             block = self.blocks[a[full]]
             a[full], b[full] = self.begins[block], self.ends[block]

@@ -526,3 +526,17 @@ def test_index_finds_windows_of_texts_that_it_does_not_hold():
         for k, v in enumerate(found.tolist()):
             part = b" " + b" ".join(w[k : k + 13]) + b" "
             assert v == min((d for t, d in zip(texts, [5, 3, 9]) if part in b" " + t + b" "), default=none)
+
+
+def test_index_tries_a_word_again_with_a_shorter_pattern():
+    a = " ".join(f"a{k}" for k in range(1, 14))
+    none = np.iinfo(np.int64).max
+    assert [x.tolist() for x in substrings.match([a.encode(), b"z"], [4, 2], [f"{a} z".encode()])] == [[4, none]]
+    rng = random.Random(3)
+    make = lambda n: [rng.choice("abc") for _ in range(n)]
+    texts, asked = [make(rng.randint(1, 60)) for _ in range(12)], [make(rng.randint(4, 60)) for _ in range(40)]
+    asked += [texts[k][5:25] + ["z"] + texts[k][:9] for k in range(12) if len(texts[k]) > 20]
+    got = substrings.match([" ".join(t).encode() for t in texts], list(range(12)), [" ".join(q).encode() for q in asked], 4)
+    for q, found in zip(asked, got):
+        want = [min((i for i, t in enumerate(texts) if any(t[j : j + 4] == q[k : k + 4] for j in range(len(t)))), default=none) for k in range(len(q) - 3)]
+        assert found.tolist() == want
