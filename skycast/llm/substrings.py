@@ -28,7 +28,7 @@ BLOCK_BYTES = 1_000_000
 #: Words of the corpus per shard.
 SHARD_WORDS = 500_000
 #: Windows under one key, about; those of a key with more are routed each by all of its words.
-KEY_WINDOWS = 50_000
+KEY_WINDOWS = 10_000
 
 U = np.uint64
 
