@@ -17,6 +17,8 @@ from .labelled import SAMPLE, fold, logistic, sample
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.7
 #: Trees, their depth, and the cut points tried for each statistic.
 TREES, DEPTH, CUTS = 40, 3, 24
+#: Most rows that one tree is grown on, drawn from the sample for each tree; the rules' weights use all of it.
+TREE_ROWS = 4_000
 #: Rows a rule must hold for, and the lasso penalty.
 LEAST, LASSO = 12, 4e-4
 
@@ -112,7 +114,7 @@ def _paths(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> list[tuple
         for side in (False, True):
             grow(rows[over == side], (*path, (k, side, cut)))
 
-    grow(rng.choice(len(y), size=min(len(y), 4_000), replace=False), ())
+    grow(rng.choice(len(y), size=min(len(y), TREE_ROWS), replace=False), ())
     return out
 
 

@@ -166,6 +166,14 @@ def test_quality_rules_separate_junk_and_compile_to_columns(spark):
     assert quality.fitted(spark.createDataFrame([], EMPTY), labels.limit(0)).rules == []
 
 
+def test_rows_of_a_tree_are_a_parameter(monkeypatch):
+    x = np.random.default_rng(0).random((300, len(quality.STATISTICS)))
+    y = (x[:, 0] > 0.5).astype(float)
+    assert quality._paths(x, y, np.random.default_rng(0))
+    monkeypatch.setattr(quality, "TREE_ROWS", 2 * quality.LEAST - 1)
+    assert not quality._paths(x, y, np.random.default_rng(0))
+
+
 def test_sample_is_bounded_and_keeps_out_the_held_out_fold(spark):
     docs = documents(spark, [prose(i, 5) for i in range(500)])
     labels = spark.createDataFrame([(i, i % 2) for i in range(500)], "doc_id long, toxic int")
