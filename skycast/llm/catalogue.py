@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, knn, packing, quality, sharding, simhash, spotsigs, substrings, toxicity, warc
+from . import bpe, knn, merkle, packing, quality, sharding, simhash, spotsigs, substrings, toxicity, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_warc_derivatives": warc.op8_warc_derivatives,
     "op9_rendezvous_sharding": sharding.op9_rendezvous_sharding,
     "op10_fm_substrings": substrings.op10_fm_substrings,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
 }
 SQL: dict[str, str] = {
     "op3_voronoi_top_k": knn.SQL,
+    "op11_merkle_manifest": merkle.SQL,
 }
