@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, knn, merkle, packing, quality, sharding, simhash, spotsigs, substrings, toxicity, warc
+from . import bpe, knn, lines, merkle, packing, quality, resample, sharding, simhash, spotsigs, substrings, toxicity, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -16,8 +16,12 @@ QUERIES = {
     "op9_rendezvous_sharding": sharding.op9_rendezvous_sharding,
     "op10_fm_substrings": substrings.op10_fm_substrings,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_line_dedup": lines.op12_line_dedup,
+    "op13_importance_resampling": resample.op13_importance_resampling,
 }
 SQL: dict[str, str] = {
     "op3_voronoi_top_k": knn.SQL,
     "op11_merkle_manifest": merkle.SQL,
+    "op12_line_dedup": lines.SQL,
+    "op13_importance_resampling": resample.SQL,
 }
