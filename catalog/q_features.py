@@ -15,6 +15,7 @@ from skycast.functions.names import site_score
 from skycast.operators import align, city, evaluation, matching, neighbours, supervised, windows
 from skycast.operators.attribution import driver_of
 from skycast.operators.metrics import paired_agreement
+from skycast.operators.quality import runs
 from skycast.operators.supervised import time_folds
 from skycast.operators.quantiles import exact_quantiles
 from skycast.operators.transport import corridor_series
@@ -293,7 +294,7 @@ def _(spark, sf):
 @query("a6_exact_quantiles", "l_returnflag, d:p, d:q, i:n", """FROM (SELECT l_returnflag, p, q, n FROM (SELECT l_returnflag, unnest([0.1, 0.5, 0.95]) AS p,
     unnest(quantile_cont(l_extendedprice, [0.1, 0.5, 0.95])) AS q, count(*) AS n FROM lineitem GROUP BY 1))""")
 def _(spark, sf):
-    return exact_quantiles(fr.table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.1, 0.5, 0.95], bin_width=100.0)
+    return exact_quantiles(fr.table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.1, 0.5, 0.95])
 
 
 @query("a7_last_observed", "t:issue=max(time)", "FROM v_base WHERE pm25_clean IS NOT NULL")
@@ -366,13 +367,8 @@ def _(spark, sf):
 @query("w8_run_lengths", "station_id, t:first=min(time), i:hours=count(*), d:value=max(r)", """FROM (SELECT *, sum(CASE WHEN r = p THEN 0 ELSE 1 END) OVER (PARTITION BY station_id ORDER BY time) AS grp
   FROM (SELECT station_id, time, round(pm25 / 200) AS r, lag(round(pm25 / 200)) OVER (PARTITION BY station_id ORDER BY time) AS p FROM v_hourly)) GROUP BY station_id, grp""")
 def _(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("station_id").orderBy("time")
-    h = fr.hourly(spark, sf).withColumn("r", F.round(F.col("pm25") / 200))
-    new = F.coalesce((F.col("r") != F.lag("r").over(w)), F.lit(True)).cast("int")
-    g = h.withColumn("_new", new).withColumn("_g", F.sum("_new").over(w)).groupBy("station_id", "_g")
-    return g.agg(F.min("time").alias("first"), F.count("*").alias("hours"), F.max("r").alias("value")).drop("_g")
+    """Stretches of a week, so runs cross their borders."""
+    return runs(fr.hourly(spark, sf), F.round(F.col("pm25") / 200), stretch_days=7)
 
 
 @query("w9_block_ratios", "station_id, t:block, d:ratio", """FROM (SELECT station_id, block, m / lag(m) OVER (PARTITION BY station_id ORDER BY block) AS ratio FROM (

@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, staged
 
 EARTH_KM = 6371.0088
 
@@ -77,39 +77,133 @@ def planar_pairs_within(left: DataFrame, right: DataFrame, radius_deg: float) ->
     return a.join(b, "_cell").drop("_cell").withColumn("deg2", d2).where(F.col("deg2") <= radius_deg**2)
 
 
-def _nearest(left, right, key, tie, start, limit, pairer, measure):
-    """Nearest right point of every left point by widening rings.
+#: A cell of the site tree is split while it holds more sites; a search starts from so many cells at most.
+LEAF, START = 16, 32
+#: Levels of the site tree: cells of about 3 m on the sphere.
+DEPTH = 22
+#: Rounds of a search between lineage cuts.
+ROUNDS = 4
 
-    A point found inside radius r is its exact nearest neighbour, because every
-    point within r was a candidate. Points still without one go to the next ring.
+
+def _spots(axes: list[Column], low: float, width: float) -> list[Column]:
+    """Whole coordinates on the finest level of a tree over [low, low + width] on every axis."""
+    top = 2**DEPTH
+    return [F.greatest(F.lit(0), F.least(F.lit(top - 1), F.floor((x - low) * (top / width)))).cast("int") for x in axes]
+
+
+def _above(cells: Column, by: Column) -> Column:
+    """The coordinates of a cell ``by`` levels higher."""
+    return F.transform(cells, lambda c: F.floor(c / F.pow(F.lit(2.0), by)).cast("int"))
+
+
+def site_tree(sites: DataFrame, axes: list[Column], low: float, width: float, leaf: int = LEAF) -> tuple[DataFrame, DataFrame]:
+    """(cells, sites with the leaf they are in): a tree that is deep where sites are dense.
+
+    Cells: level, cell (coordinates), n sites, ``spot`` (axes of one of them), ``inner`` (has children). Only
+    cells whose parent holds more than ``leaf`` sites exist, so there are at most DEPTH times the sites over
+    ``leaf`` of them besides the leaves. Counts are combined before the shuffle, whatever the density.
+    """
+    x = F.array(*axes)
+    placed = sites.withColumn("_x", x).withColumn("_fine", F.array(*_spots(axes, low, width)))
+    levels = F.explode(F.sequence(F.lit(0), F.lit(DEPTH)))
+    each = placed.select("_x", "_fine", levels.alias("_level")).withColumn("_cell", _above(F.col("_fine"), DEPTH - F.col("_level")))
+    counted = staged(each.groupBy("_level", "_cell").agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_spot")), "cells")
+    full = counted.where(F.col("_n") > leaf).select((F.col("_level") + 1).alias("_level"), F.col("_cell").alias("_parent"))
+    child = counted.withColumn("_parent", _above(F.col("_cell"), F.lit(1)))
+    kept = child.join(full, ["_level", "_parent"], "left_semi").unionByName(child.where("_level = 0"))
+    cells = kept.withColumn("_inner", (F.col("_n") > leaf) & (F.col("_level") < DEPTH))
+    leaves = cells.where(~F.col("_inner")).select("_level", "_cell")
+    own = placed.withColumn("_level", levels).withColumn("_cell", _above(F.col("_fine"), DEPTH - F.col("_level")))
+    return cells, own.join(leaves, ["_level", "_cell"], "left_semi").drop("_x", "_fine")
+
+
+def candidates(
+    points: DataFrame, sites: DataFrame, point_axes: list[Column], site_axes: list[Column], low: float, width: float, key: str,
+    leaf: int = LEAF, apart: bool = False,
+) -> DataFrame:
+    """(key, site columns): for each point the sites of all leaves that can hold its nearest one.
+
+    With ``apart``, sites at the point's own position do not count: where the one site known of a cell is
+    there, the cell's diagonal bounds the distance to others in it, if it holds any.
+
+    Level by level: the distance to one site of each cell in reach bounds the nearest distance from above,
+    cells farther than the least such bound go, the others give way to their children. What is left in
+    the end are leaves that the ball around the point touches, each with ``leaf`` sites at most.
     """
+    cells, placed = site_tree(sites, site_axes, low, width, leaf)
+    cells = staged(cells, "tree")
+    per_level = {r["_level"]: (r["_n"], r["leaves"]) for r in cells.groupBy("_level").agg(F.count(F.lit(1)).alias("_n"), F.count_if(~F.col("_inner")).alias("leaves")).collect()}
+    deepest, start = max(per_level), 0
+    while start < deepest and per_level[start + 1][0] + sum(per_level[k][1] for k in range(start + 1)) <= START:
+        start += 1
+    first = cells.where((F.col("_level") == start) | ((F.col("_level") < start) & ~F.col("_inner"))).collect()  # START at most
+    size = lambda level: F.lit(width) / F.pow(F.lit(2.0), level)
+    distance = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, d: t + d)
+
+    def gap(x: Column, level: Column, cell: Column) -> Column:
+        """Squared distance to the nearest place of a cell."""
+        s = size(level)
+        beyond = lambda a, c: F.greatest(F.lit(0.0), c * s + low - a, a - (c + 1) * s - low)
+        return F.aggregate(F.zip_with(x, cell, beyond), F.lit(0.0), lambda t, d: t + d * d)
+
+    def known(x: Column, level: Column, n: Column, spot: Column) -> Column:
+        """Squared distance within which a cell surely has a site."""
+        d = distance(x, spot)
+        if not apart:
+            return d
+        return F.when(d > 1e-18, d).when(n > 1, len(site_axes) * size(level) * size(level)).otherwise(F.lit(math.inf))
+
+    slack = lambda ub: ub * (1 + 1e-9) + 1e-15
+    entry = lambda r: F.struct(*(F.lit(r[c]).alias(c) for c in ("_level", "_cell", "_inner", "_n", "_spot")))
+    front = points.select(key, F.array(*point_axes).alias("_p")).withColumn("_all", F.array(*map(entry, first)))
+    front = front.withColumn("_ub", F.array_min(F.transform("_all", lambda c: known(F.col("_p"), c["_level"], c["_n"], c["_spot"]))))
+    front = front.withColumn("_c", F.explode(F.filter("_all", lambda c: gap(F.col("_p"), c["_level"], c["_cell"]) <= slack(F.col("_ub")))))
+    front = front.select(key, "_p", "_ub", F.col("_c._level").alias("_level"), F.col("_c._cell").alias("_cell"), F.col("_c._inner").alias("_inner"))
+
+    children = cells.select(
+        (F.col("_level") - 1).alias("_level"), F.col("_parent").alias("_cell"), F.col("_cell").alias("_child"), F.col("_inner").alias("_deep"), "_n", "_spot"
+    )
+    own = Window.partitionBy(key)
+    for k in range(start, deepest):
+        here = F.col("_inner") & (F.col("_level") == k)
+        below = front.where(here).join(children.where(F.col("_level") == k), ["_level", "_cell"]).select(
+            key, "_p", F.least("_ub", known(F.col("_p"), F.col("_level") + 1, F.col("_n"), F.col("_spot"))).alias("_ub"), (F.col("_level") + 1).alias("_level"),
+            F.col("_child").alias("_cell"), F.col("_deep").alias("_inner"),
+        )
+        front = front.where(~here).unionByName(below).withColumn("_ub", F.min("_ub").over(own))
+        front = front.where(gap(F.col("_p"), F.col("_level"), F.col("_cell")) <= slack(F.col("_ub")))
+        if (k - start) % ROUNDS == ROUNDS - 1:
+            front = cut(front)
+    return front.select(key, "_level", "_cell").join(placed, ["_level", "_cell"]).drop("_level", "_cell")
+
+
+def _nearest(left: DataFrame, right: DataFrame, key: str, tie: str, axes, low: float, width: float, measure: str, by, apart: bool = False) -> DataFrame:
+    """Left rows with the columns of their nearest right row; ``key`` is unique in left."""
     if right.isEmpty():
         return left.withColumn(measure, F.lit(None).cast("double"))
-    rest, found, radius = left, None, start
-    while True:
-        last = radius >= limit
-        reach = limit if last else radius
-        near = pairer(rest, right, reach)
-        extra = [c for c in near.columns if c not in left.columns]
-        best = near.groupBy(*left.columns).agg(
-            F.min_by(F.struct(*extra), F.struct(measure, tie)).alias("_n")
-        ).select(*left.columns, "_n.*")
-        best = cut(best)
-        found = best if found is None else found.unionByName(best)
-        rest = rest.join(best.select(key), key, "left_anti")
-        if last or rest.isEmpty():
-            return found
-        rest = cut(rest)
-        radius *= 4
-
-
-def nearest(left: DataFrame, right: DataFrame, key: str, tie: str, start_km: float = 50.0) -> DataFrame:
-    """Left rows with the columns of their nearest right row and ``km``; ties by ``tie``."""
-    return _nearest(left, right, key, tie, start_km, math.pi * EARTH_KM, pairs_within, "km")
-
-
-def nearest_planar(left: DataFrame, right: DataFrame, key: str, tie: str, start_deg: float = 0.5) -> DataFrame:
-    return _nearest(left, right, key, tie, start_deg, 512.0, planar_pairs_within, "deg2")
+    # of sites at one position only the first by ``tie`` can be chosen
+    right = right.groupBy("r_lat", "r_lon").agg(F.min_by(F.struct(*right.columns), tie).alias("_s")).select("_s.*")
+    met = candidates(
+        left, right, axes(F.col("l_lat"), F.col("l_lon")), axes(F.col("r_lat"), F.col("r_lon")), low, width, key, apart=apart
+    ).join(left.select(key, "l_lat", "l_lon"), key)
+    met = met.withColumn(measure, by(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon")))
+    extra = [*right.columns, measure]
+    best = (met.where(F.col(measure) > 0) if apart else met).groupBy(key).agg(F.min_by(F.struct(*extra), F.struct(measure, tie)).alias("_n"))
+    return left.join(best, key).select(*left.columns, "_n.*")
+
+
+def nearest(left: DataFrame, right: DataFrame, key: str, tie: str, apart: bool = False) -> DataFrame:
+    """Left rows with the columns of their nearest right row and ``km``; ties by ``tie``.
+
+    ``apart``: right rows at the left row's own position do not count (positions in right are distinct then).
+    """
+    return _nearest(left, right, key, tie, _sphere, -1.0, 2.0, "km", haversine_km, apart)
+
+
+def nearest_planar(left: DataFrame, right: DataFrame, key: str, tie: str) -> DataFrame:
+    """As ``nearest`` in plain degrees, with ``deg2`` the squared distance."""
+    deg2 = lambda a, b, c, d: F.pow(a - c, 2) + F.pow(b - d, 2)
+    return _nearest(left, right, key, tie, lambda a, b: [a, b], -512.0, 1024.0, "deg2", deg2)
 
 
 def grid(spark, lat_min: float, lon_min: float, lat_max: float, lon_max: float, step: float) -> DataFrame:

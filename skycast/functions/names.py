@@ -97,13 +97,16 @@ def _jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
 
 
+def distinctive(word: Column) -> Column:
+    return ~word.isin(*GENERIC) & (F.length(word) >= 6)
+
+
 def match_score(ours: Column, theirs: Column) -> Column:
     """-1 when numerals disagree, else Jaccard; 1 when ours is contained and shares a distinctive word."""
     a, b = ordinals(ours), ordinals(theirs)
     clash = (F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b)
     shared = F.array_intersect(ours, theirs)
-    distinctive = F.exists(shared, lambda t: ~t.isin(*GENERIC) & (F.length(t) >= 6))
-    contained = (F.size(shared) == F.size(ours)) & distinctive
+    contained = (F.size(shared) == F.size(ours)) & F.exists(shared, distinctive)
     return (
         F.when(clash, F.lit(-1.0))
         .when(F.size(shared) == 0, F.lit(0.0))

@@ -2,37 +2,127 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions.geo import pairs_within
-from ..session import cut
+from ..session import broadcast_checked, cut, staged
 
 
-def mutual_best(
-    pairs: DataFrame, left: str, right: str, left_rank: Sequence[Column], right_rank: Sequence[Column]
-) -> DataFrame:
-    """Assign pairs in rounds: a pair is settled when each side is the other's best (smallest rank) choice.
+#: Pairs that one task takes at once, about.
+AT_ONCE = 200_000
 
-    With one common total order this equals taking pairs globally best first; when the
-    right side ranks its suitors by roster order it equals serving the roster in order.
-    Best choices are aggregates, so a popular record costs no skewed task. Every round
-    settles at least the overall best pair and its result is written to the shared folder.
+
+def mutual_best(pairs: DataFrame, left: str, right: str, order: Sequence[Column]) -> DataFrame:
+    """Take pairs in order, each unless one of its sides is taken already: round by round.
+
+    A pair is settled when it is the first of both its sides; that equals taking pairs globally
+    first things first. First choices are aggregates, so a popular record costs no skewed task. Every
+    round settles at least the overall first pair and its result is written to the shared folder.
     """
-    rest = cut(pairs.withColumn("_lr", F.struct(*left_rank)).withColumn("_rr", F.struct(*right_rank)))
+    rest = cut(pairs.withColumn("_o", F.struct(*order)))
     done = None
     while not rest.isEmpty():
-        mine = rest.groupBy(left).agg(F.min(F.struct("_lr", right)).alias("_b")).select(left, F.col(f"_b.{right}").alias(right))
-        theirs = rest.groupBy(right).agg(F.min(F.struct("_rr", left)).alias("_b")).select(F.col(f"_b.{left}").alias(left), right)
+        mine = rest.groupBy(left).agg(F.min(F.struct("_o", right)).alias("_b")).select(left, F.col(f"_b.{right}").alias(right))
+        theirs = rest.groupBy(right).agg(F.min(F.struct("_o", left)).alias("_b")).select(F.col(f"_b.{left}").alias(left), right)
         settled = cut(rest.join(mine, [left, right], "left_semi").join(theirs, [left, right], "left_semi"))
         done = settled if done is None else done.unionByName(settled)
         rest = cut(
             rest.join(settled.select(left), left, "left_anti").join(settled.select(right), right, "left_anti")
         )
-    return (done if done is not None else rest).drop("_lr", "_rr")
+    return (done if done is not None else rest).drop("_o")
+
+
+def _forest(edges: DataFrame, parts: int) -> DataFrame:
+    """(a, b) edges between longs to (a, b): each node of a part with the least node it is linked to there."""
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (above := up.setdefault(x, x)) != x:
+                up[x] = x = up[above] if up[above] != above else above
+            return x
+
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x, y = root(x), root(y)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+        if up:
+            yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([root(x) for x in list(up)], pa.int64())], ["a", "b"])
+
+    dealt = edges.repartition(parts, "a", "b") if parts > 1 else edges.repartition(1)
+    return dealt.mapInArrow(unite, "a long, b long").where("a <> b")
+
+
+def components(edges: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
+    """(node, component): the least node that each node of the edges (a, b: longs) is linked to over any number of steps.
+
+    Edges are dealt into parts of about ``at_once``, and each part is reduced to stars in one pass. Up to
+    ``at_once`` edges that is all, however long their chains; of more, each round hangs every star's
+    nodes on the least of their neighbours until nothing moves, about as many rounds as the logarithm of the longest way
+    between parts.
+    """
+    parts = 1 + edges.count() // at_once
+    stars = staged(_forest(edges.select("a", "b"), parts), "stars")
+    if parts > 1 and stars.count() <= at_once:
+        stars, parts = staged(_forest(stars, 1), "stars"), 1
+    while parts > 1:
+        least = stars.groupBy("a").agg(F.min("b").alias("m"))
+        # every node of a star, and the star's root, hang on the least root that one of them has
+        hung = stars.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        hung = hung.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+        # roots that themselves hang lower take their nodes along
+        lower = hung.groupBy("a").agg(F.min("b").alias("b"))
+        moved = hung.join(lower.select(F.col("a").alias("b"), F.col("b").alias("c")), "b", "left")
+        new = staged(moved.select("a", F.coalesce("c", "b").alias("b")).where("a <> b").distinct(), "stars")
+        if not new.exceptAll(stars).limit(1).count() and not stars.exceptAll(new).limit(1).count():
+            break
+        stars = new
+    roots = stars.groupBy("a").agg(F.min("b").alias("component"))
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return ends.join(roots, ends.node == roots.a, "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def greedy(pairs: DataFrame, left: str, right: str, order: Sequence[Column], at_once: int = AT_ONCE) -> DataFrame:
+    """Take pairs in order, each unless one of its sides is taken already.
+
+    Pairs of different connected components never meet, so components are packed into tasks of about
+    ``at_once`` pairs, and one pass over the ordered pairs of a task settles them all; the number of
+    jobs does not depend on how long a chain of choices is. Only components of more pairs than that go
+    round by round.
+    """
+    columns = pairs.columns
+    node = lambda side, c: F.xxhash64(F.lit(side), F.col(c).cast("string"))
+    rows = staged(pairs.withColumns({"_a": node(0, left), "_b": node(1, right), "_o": F.struct(*order)}), "pairs")
+    of = components(rows.select(F.col("_a").alias("a"), F.col("_b").alias("b")), at_once)
+    rows = staged(rows.join(of, rows._a == of.node).drop("node"), "pairs")
+    sizes = rows.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
+    total = rows.count()
+    big = broadcast_checked(sizes.where(F.col("_n") > at_once).select("component"))
+    buckets = 1 + 2 * total // at_once
+    small = rows.join(big, "component", "left_anti").withColumn("_bucket", F.pmod(F.xxhash64("component"), F.lit(buckets)).cast("int"))
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used: set[int] = set()
+        for batch in batches:  # in order
+            keep = []
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                free = a not in used and b not in used
+                keep.append(free)
+                if free:
+                    used.update((a, b))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    taken = small.repartition(buckets, "_bucket").sortWithinPartitions("_o").select("_a", "_b").mapInArrow(settle, "_a long, _b long")
+    done = small.join(taken, ["_a", "_b"], "left_semi").select(*columns)
+    large = rows.join(big, "component", "left_semi").select(*columns)
+    return done if large.isEmpty() else done.unionByName(mutual_best(large, left, right, order))
 
 
 def location_pairs(roster: DataFrame, locations: DataFrame, window_start, window_end, max_km: float = 3.0) -> DataFrame:
@@ -55,7 +145,7 @@ def resolve_locations(roster: DataFrame, locations: DataFrame, window_start, win
     """Greedy best-first one-to-one resolution; a match covers the window and shares a name."""
     pairs = location_pairs(roster, locations, window_start, window_end, max_km).where("covers and name_score > 0")
     order = [-F.col("name_score"), -F.col("span_days"), F.col("km"), F.col("station_id"), F.col("location_id")]
-    out = mutual_best(pairs, "station_id", "location_id", order, order)
+    out = greedy(pairs, "station_id", "location_id", order)
     return out.select(
         "station_id", "location_id", "loc_name", F.round("r_lat", 6).alias("lat"), F.round("r_lon", 6).alias("lon"),
         F.round("km", 3).alias("distance_km"), F.to_date("first_seen").alias("first"), F.to_date("last_seen").alias("last"),
@@ -63,40 +153,53 @@ def resolve_locations(roster: DataFrame, locations: DataFrame, window_start, win
 
 
 def name_pairs(roster: DataFrame, candidates: DataFrame, min_score: float = names.MIN_SCORE) -> DataFrame:
-    """(station_id, candidate_id, score) of all pairs with score >= min_score.
+    """(station_id, rank, words, score) of all roster entries with the word sets of candidates that score ``min_score`` or more.
 
-    ``roster``: station_id, name, city, rank. ``candidates``: candidate_id, candidate_name.
-    Distinct token sets are compared, not records. A qualifying pair shares at least
-    ceil(t * |ours|) words, so it shares one of our |ours| - ceil(t * |ours|) + 1 rarest:
-    only those rarest words are joined, which keeps common words out of the join.
+    ``roster``: station_id, name, city, rank. ``candidates``: words (distinct, sorted). Only sets of words are
+    compared, not records, and only those that meet. With all words in one order, rarest first, two sets whose Jaccard is t
+    or more share one of the first n - ceil(t * n) + 1 of each side's n words. Ours contained in theirs is a match whatever
+    the length if it has a distinctive word; those meet on the rarest such. So a word that stands in a third
+    of the names is looked up by nobody who has a rarer one, and pairs that cannot reach t by it never meet.
     """
     ours = roster.withColumn("_o", F.array_sort(F.array_union(names.tokens(F.col("name")), names.tokens(F.col("city")))))
-    theirs = candidates.withColumn("_t", F.array_sort(names.tokens(F.col("candidate_name"))))
     a = ours.where(F.size("_o") > 0).select("_o").distinct()
-    b = theirs.where(F.size("_t") > 0).select("_t").distinct()
+    b = candidates.where(F.size("words") > 0).select(F.col("words").alias("_t")).distinct()
     freq = b.select(F.explode("_t").alias("_w")).groupBy("_w").agg(F.count("*").alias("_f"))
-    words = a.select("_o", F.explode("_o").alias("_w")).join(freq, "_w", "left")
-    ranked = words.groupBy("_o").agg(
-        F.array_sort(F.collect_list(F.struct(F.coalesce("_f", F.lit(0)).alias("f"), F.col("_w").alias("w")))).alias("_r")
-    )
-    take = F.size("_o") - F.ceil(F.lit(min_score) * F.size("_o")) + 1
-    keys = ranked.select("_o", F.explode(F.slice("_r", F.lit(1), take.cast("int"))).alias("_k")).select("_o", F.col("_k.w").alias("_w"))
-    met = keys.join(b.select("_t", F.explode("_t").alias("_w")), "_w").select("_o", "_t").distinct()
+
+    def ranked(sets: DataFrame, c: str) -> DataFrame:
+        each = sets.select(c, F.explode(c).alias("_w")).join(freq, "_w", "left")
+        return each.groupBy(c).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_f", F.lit(0)).alias("f"), F.col("_w").alias("w")))).alias("_r"))
+
+    def first(sets: DataFrame, c: str) -> DataFrame:
+        take = (F.size(c) - F.ceil(F.lit(min_score) * F.size(c)) + 1).cast("int")
+        return sets.select(c, F.explode(F.transform(F.slice("_r", F.lit(1), take), lambda r: r["w"])).alias("_w"))
+
+    mine = ranked(a, "_o")
+    rarest = F.get(F.filter("_r", lambda r: names.distinctive(r["w"])), F.lit(0))["w"]
+    long = mine.select("_o", rarest.alias("_w")).where(F.col("_w").isNotNull()).join(b.select("_t", F.explode("_t").alias("_w")), "_w").where(F.size("_t") >= F.size("_o"))
+    near = first(mine, "_o").join(first(ranked(b, "_t"), "_t"), "_w").where(F.least(F.size("_o"), F.size("_t")) >= F.greatest(F.size("_o"), F.size("_t")) * min_score - 1e-9)
+    met = near.select("_o", "_t").union(long.select("_o", "_t")).distinct()
     scored = met.withColumn("score", names.match_score(F.col("_o"), F.col("_t"))).where(F.col("score") >= min_score)
-    return (
-        ours.select("station_id", "rank", "_o").join(scored, "_o").join(theirs, "_t")
-        .select("station_id", "rank", "candidate_id", "candidate_name", "score")
-    )
+    return ours.select("station_id", "rank", "_o").join(scored, "_o").select("station_id", "rank", F.col("_t").alias("words"), "score")
+
+
+#: Parts that the records of one name are dealt into.
+PARTS = 64
 
 
 def match_by_name(roster: DataFrame, candidates: DataFrame, min_score: float = names.MIN_SCORE) -> DataFrame:
-    """Serve the roster in order, each entry taking its best free candidate above the score."""
-    # Of candidates with the same words no more than one per roster entry can ever be taken,
-    # and they are taken in id order: a rank limit, applied before the shuffle, loses nothing.
-    same = F.array_join(F.array_sort(names.tokens(F.col("candidate_name"))), " ")
-    rank = F.row_number().over(Window.partitionBy("_same").orderBy("candidate_id"))
-    first = candidates.withColumn("_same", same).withColumn("_k", rank).where(F.col("_k") <= roster.count())
-    pairs = name_pairs(roster, first.drop("_same", "_k"), min_score)
-    return mutual_best(
-        pairs, "station_id", "candidate_id", [-F.col("score"), F.col("candidate_id")], [F.col("rank"), F.col("station_id")]
-    ).drop("rank")
+    """Serve the roster in order, each entry taking its best free candidate at or above the score; ties to the smaller candidate id.
+
+    Records with the same words are equally good for any entry and are taken in the order of their ids. So a
+    set of words offers as many of its ids, from the smallest, as entries ask for it; the next could only be
+    taken by one entry more. The ids of a very common name are ordered in parts.
+    """
+    worded = candidates.withColumn("words", F.array_sort(names.tokens(F.col("candidate_name"))))
+    asked = staged(name_pairs(roster, worded.select("words"), min_score), "asked")
+    demand = asked.groupBy("words").agg(F.count(F.lit(1)).alias("_asks"))
+    offers = worded.join(demand, "words").withColumn("_part", F.pmod(F.xxhash64("candidate_id"), F.lit(PARTS)))
+    for by in (("words", "_part"), ("words",)):
+        offers = offers.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy("candidate_id"))).where(F.col("_k") <= F.col("_asks"))
+    pairs = asked.join(offers.drop("_asks", "_part", "_k"), "words").select("station_id", "rank", "candidate_id", "candidate_name", "score")
+    order = [F.col("rank"), F.col("station_id"), -F.col("score"), F.col("candidate_id")]
+    return greedy(pairs, "station_id", "candidate_id", order).drop("rank")

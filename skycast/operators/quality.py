@@ -46,32 +46,146 @@ def hourly_stats(obs: DataFrame) -> DataFrame:
     )
 
 
-def flag_quality(hourly: DataFrame, compat: bool = False) -> DataFrame:
+#: Days of a record that one task holds at once.
+STRETCH_DAYS = 120
+
+
+def run_lengths(hourly: DataFrame, value: Column, step_s: int | None = 3600, at_repeat: bool = False, stretch_days: int = STRETCH_DAYS) -> DataFrame:
+    """Adds to each row of a station's series ``run_repeat``, ``run_first`` (time of its run's first row) and ``run_hours`` (rows of the run).
+
+    A row repeats if it has the value of the row before, ``step_s`` seconds earlier (any time earlier if None). A run
+    starts at each row that does not repeat, or with ``at_repeat`` at each that does.
+
+    Series are cut into stretches, and only a stretch is sorted in one task. Each reports its first and last run
+    and whether they are one; these few rows are merged along the station, so a run may cross any number
+    of stretches, and go back to the rows of outermost runs. Inner runs never leave their stretch.
+    """
+    names = {"run_repeat", "run_first", "run_hours"}
+    rows = hourly.drop(*names).withColumns({"_x": value, "_part": F.floor(F.unix_timestamp("time") / (stretch_days * 86400))})
+
+    def repeats(x: Column, time: Column, before_x: Column, before: Column) -> Column:
+        same = x == before_x
+        if step_s is not None:
+            same = same & (F.unix_timestamp(time) - F.unix_timestamp(before) == step_s)
+        return F.coalesce(same, F.lit(False))
+
+    starts = (lambda repeat: repeat) if at_repeat else (lambda repeat: ~repeat)
+    own = Window.partitionBy("station_id", "_part").orderBy("time")
+    rows = rows.withColumn("run_repeat", repeats(F.col("_x"), F.col("time"), F.lag("_x").over(own), F.lag("time").over(own)))
+    rows = rows.withColumn("_run", F.sum(starts(F.col("run_repeat")).cast("long")).over(own))
+    run = Window.partitionBy("station_id", "_part", "_run")
+    rows = rows.withColumns({"_n": F.count(F.lit(1)).over(run), "_first": F.min("time").over(run)})
+
+    end = F.struct("_x", "time", "_run", "_n", "_first")
+    ends = rows.groupBy(F.col("station_id").alias("_station"), F.col("_part").alias("_of")).agg(F.min_by(end, "time").alias("_a"), F.max_by(end, "time").alias("_z"))
+    along = Window.partitionBy("_station").orderBy("_of")
+    before = F.lag("_z").over(along)
+    ends = ends.withColumn("_again", repeats(F.col("_a._x"), F.col("_a.time"), before["_x"], before["time"]))
+    ends = ends.withColumn("_joins", before.isNotNull() & ~starts(F.col("_again"))).withColumn("_whole", F.col("_a._run") == F.col("_z._run"))
+    # a chain: the last run of a stretch with the whole stretches that continue it
+    ends = ends.withColumn("_chain", F.sum((~(F.col("_whole") & F.col("_joins"))).cast("long")).over(along))
+    tail = F.coalesce(F.lead(F.when(F.col("_joins") & ~F.col("_whole"), F.col("_a._n"))).over(along), F.lit(0))
+    ends = ends.withColumn("_tail", tail)
+    chain = Window.partitionBy("_station", "_chain")
+    ends = ends.withColumns({"_hours": (F.sum("_z._n").over(chain) + F.sum("_tail").over(chain)), "_since": F.min("_z._first").over(chain)})
+    total = lambda chained, alone: F.when(F.col("_joins"), F.lag(chained).over(along)).when(F.col("_whole"), F.col(chained)).otherwise(F.col(alone))
+    ends = ends.select(
+        "_station", "_of", "_again", "_hours", "_since", F.col("_a.time").alias("_start"), F.col("_a._run").alias("_head"), F.col("_z._run").alias("_last"),
+        total("_hours", "_a._n").alias("_head_hours"), total("_since", "_a._first").alias("_head_since"),
+    )
+    out = rows.join(ends, F.col("station_id").eqNullSafe(F.col("_station")) & F.col("_part").eqNullSafe(F.col("_of")))
+    pick = lambda head, last, inner: F.when(F.col("_run") == F.col("_head"), F.col(head)).when(F.col("_run") == F.col("_last"), F.col(last)).otherwise(F.col(inner))
+    return out.select(
+        *hourly.drop(*names).columns, F.when(F.col("time") == F.col("_start"), F.col("_again")).otherwise(F.col("run_repeat")).alias("run_repeat"),
+        pick("_head_since", "_since", "_first").alias("run_first"), pick("_head_hours", "_hours", "_n").alias("run_hours"),
+    )
+
+
+def runs(hourly: DataFrame, value: Column, step_s: int | None = None, stretch_days: int = STRETCH_DAYS) -> DataFrame:
+    """station_id, first, hours and value of each run of equal values; a missing value ends a run and is one of its own."""
+    marked = run_lengths(hourly.withColumn("_value", value), F.col("_value"), step_s, stretch_days=stretch_days)
+    return marked.where(F.col("time") == F.col("run_first")).select("station_id", F.col("time").alias("first"), F.col("run_hours").alias("hours"), F.col("_value").alias("value"))
+
+
+#: Days of a record that one task holds at once.
+STRETCH_DAYS = 120
+
+
+def run_lengths(hourly: DataFrame, value: Column, step_s: int | None = 3600, at_repeat: bool = False, stretch_days: int = STRETCH_DAYS) -> DataFrame:
+    """Adds to each row of a station's series ``run_repeat``, ``run_first`` (time of its run's first row) and ``run_hours`` (rows of the run).
+
+    A row repeats if it has the value of the row before, ``step_s`` seconds earlier (any time earlier if None). A run
+    starts at each row that does not repeat, or with ``at_repeat`` at each that does.
+
+    Series are cut into stretches, and only a stretch is sorted in one task. Each reports its first and last run
+    and whether they are one; these few rows are merged along the station, so a run may cross any number
+    of stretches, and go back to the rows of outermost runs. Inner runs never leave their stretch.
+    """
+    names = {"run_repeat", "run_first", "run_hours"}
+    rows = hourly.drop(*names).withColumns({"_x": value, "_part": F.floor(F.unix_timestamp("time") / (stretch_days * 86400))})
+
+    def repeats(x: Column, time: Column, before_x: Column, before: Column) -> Column:
+        same = x == before_x
+        if step_s is not None:
+            same = same & (F.unix_timestamp(time) - F.unix_timestamp(before) == step_s)
+        return F.coalesce(same, F.lit(False))
+
+    starts = (lambda repeat: repeat) if at_repeat else (lambda repeat: ~repeat)
+    own = Window.partitionBy("station_id", "_part").orderBy("time")
+    rows = rows.withColumn("run_repeat", repeats(F.col("_x"), F.col("time"), F.lag("_x").over(own), F.lag("time").over(own)))
+    rows = rows.withColumn("_run", F.sum(starts(F.col("run_repeat")).cast("long")).over(own))
+    run = Window.partitionBy("station_id", "_part", "_run")
+    rows = rows.withColumns({"_n": F.count(F.lit(1)).over(run), "_first": F.min("time").over(run)})
+
+    end = F.struct("_x", "time", "_run", "_n", "_first")
+    ends = rows.groupBy(F.col("station_id").alias("_station"), F.col("_part").alias("_of")).agg(F.min_by(end, "time").alias("_a"), F.max_by(end, "time").alias("_z"))
+    along = Window.partitionBy("_station").orderBy("_of")
+    before = F.lag("_z").over(along)
+    ends = ends.withColumn("_again", repeats(F.col("_a._x"), F.col("_a.time"), before["_x"], before["time"]))
+    ends = ends.withColumn("_joins", before.isNotNull() & ~starts(F.col("_again"))).withColumn("_whole", F.col("_a._run") == F.col("_z._run"))
+    # a chain: the last run of a stretch with the whole stretches that continue it
+    ends = ends.withColumn("_chain", F.sum((~(F.col("_whole") & F.col("_joins"))).cast("long")).over(along))
+    tail = F.coalesce(F.lead(F.when(F.col("_joins") & ~F.col("_whole"), F.col("_a._n"))).over(along), F.lit(0))
+    ends = ends.withColumn("_tail", tail)
+    chain = Window.partitionBy("_station", "_chain")
+    ends = ends.withColumns({"_hours": (F.sum("_z._n").over(chain) + F.sum("_tail").over(chain)), "_since": F.min("_z._first").over(chain)})
+    total = lambda chained, alone: F.when(F.col("_joins"), F.lag(chained).over(along)).when(F.col("_whole"), F.col(chained)).otherwise(F.col(alone))
+    ends = ends.select(
+        "_station", "_of", "_again", "_hours", "_since", F.col("_a.time").alias("_start"), F.col("_a._run").alias("_head"), F.col("_z._run").alias("_last"),
+        total("_hours", "_a._n").alias("_head_hours"), total("_since", "_a._first").alias("_head_since"),
+    )
+    out = rows.join(ends, F.col("station_id").eqNullSafe(F.col("_station")) & F.col("_part").eqNullSafe(F.col("_of")))
+    pick = lambda head, last, inner: F.when(F.col("_run") == F.col("_head"), F.col(head)).when(F.col("_run") == F.col("_last"), F.col(last)).otherwise(F.col(inner))
+    return out.select(
+        *hourly.drop(*names).columns, F.when(F.col("time") == F.col("_start"), F.col("_again")).otherwise(F.col("run_repeat")).alias("run_repeat"),
+        pick("_head_since", "_since", "_first").alias("run_first"), pick("_head_hours", "_hours", "_n").alias("run_hours"),
+    )
+
+
+def runs(hourly: DataFrame, value: Column, step_s: int | None = None, stretch_days: int = STRETCH_DAYS) -> DataFrame:
+    """station_id, first, hours and value of each run of equal values; a missing value ends a run and is one of its own."""
+    marked = run_lengths(hourly.withColumn("_value", value), F.col("_value"), step_s, stretch_days=stretch_days)
+    return marked.where(F.col("time") == F.col("run_first")).select("station_id", F.col("time").alias("first"), F.col("run_hours").alias("hours"), F.col("_value").alias("value"))
+
+
+def flag_quality(hourly: DataFrame, compat: bool = False, stretch_days: int = STRETCH_DAYS) -> DataFrame:
     """Add quality_flag and pm25_clean (null unless ok); the raw value stays.
 
-    A window partition is one station's hours, so it grows with the length of the
-    record and not with the volume of readings. ``compat=True`` groups each repeat with
+    Runs of equal values are found stretch by stretch. ``compat=True`` groups each repeat with
     the non-repeats that follow it and looks at rows instead of hours.
     """
-    by_time = Window.partitionBy("station_id").orderBy("time")
     shown = F.round("pm25", 2)
-    repeat = shown == F.lag(shown).over(by_time)
-    if not compat:
-        repeat = repeat & (F.unix_timestamp("time") - F.unix_timestamp(F.lag("time").over(by_time)) == 3600)
-    marked = hourly.withColumn("_repeat", F.coalesce(repeat, F.lit(False)))
-    step = F.col("_repeat") if compat else ~F.col("_repeat")
-    marked = marked.withColumn("_run", F.sum(step.cast("long")).over(by_time))
-    marked = marked.withColumn("_len", F.count("*").over(Window.partitionBy("station_id", "_run")))
+    marked = run_lengths(hourly, shown, None if compat else 3600, at_repeat=compat, stretch_days=stretch_days)
     flag = (
         F.when(F.col("pm25") < MIN_PLAUSIBLE, "suspect_low")
         .when(F.col("pm25") > MAX_PLAUSIBLE, "suspect_high")
-        .when(F.col("_repeat") & (F.col("_len") >= STUCK_HOURS), "stuck")
+        .when(F.col("run_repeat") & (F.col("run_hours") >= STUCK_HOURS), "stuck")
         .otherwise("ok")
     )
     return (
         marked.withColumn("quality_flag", flag)
         .withColumn("pm25_clean", F.when(F.col("quality_flag") == "ok", F.col("pm25")))
-        .drop("_repeat", "_run", "_len")
+        .drop("run_repeat", "run_first", "run_hours")
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..config import Fold, Settings
 from ..functions.aqi import observed_stage
 from ..functions.distribution import stage_probabilities
-from ..functions.geo import pairs_within
+from ..functions.geo import nearest
 from ..operators.city import city_base
 from ..operators.evaluation import (
     fog_alarms, lead_times, pollution_strata, stage_table, visibility_scores, wind_strata,
@@ -21,7 +22,7 @@ from ..operators.metrics import finite, horizon_table, rmse
 from ..operators.models import (
     Calibrated, Corrector, Model, Persistence, RawForecast, default_models,
 )
-from ..operators.neighbours import neighbour_features
+from ..operators.neighbours import SUMS, Neighbourhoods, places_of
 from ..operators.supervised import assign_split, build_supervised, fold_test, fold_train, lead_match
 from ..session import staged
 from .base import scorable
@@ -145,61 +146,90 @@ def lead_coverage(sup: DataFrame, lead: DataFrame, least: float = 0.999) -> Data
 
 
 # -- space ------------------------------------------------------------------
-def leave_one_out(
-    base: DataFrame, stations: DataFrame, cfg: Settings, held_out: Sequence[str] | DataFrame, min_train: int = MIN_LOSO_TRAIN, **params
-) -> DataFrame:
-    """Predict each held-out station from the others, its own values removed from every neighbourhood.
+def held_out_rows(base: DataFrame, stations: DataFrame, cfg: Settings, compat: bool = False) -> tuple[Neighbourhoods, DataFrame]:
+    """Supervised rows with the neighbours' sums at issue time and ``idw``, the distance-weighted value that a map would show.
 
-    The neighbour features of all held-out cases come from one pass with held_out as a key.
+    A station is never part of its own neighbourhood, so ``idw`` of its rows is what the others say of it. It is taken at the
+    target hour; ``compat=True`` takes that of the issue hour, one to three days older.
     """
-    spark = base.sparkSession
-    ids = held_out if isinstance(held_out, DataFrame) else spark.createDataFrame([(s,) for s in held_out], "held_out string")
-    cases = [r[0] for r in ids.collect()]
+    hoods = Neighbourhoods(base, stations)
+    summed = staged(hoods.frame(), "neighbour-sums")
+    sup = assign_split(build_supervised(summed, cfg.horizons), cfg).dropna(subset=["y", "cams_pm2_5_tgt"])
+    shown = hoods.features(summed.select("station_id", "time", hoods.value, *SUMS, "nbr_n", "nbr_wind_from"), hoods.counts(hoods.value))
+    when = "issue_time" if compat else "target_time"
+    return hoods, sup.join(shown.select("station_id", F.col("time").alias(when), F.col("nbr_pm25_dist").alias("idw")), ["station_id", when], "left")
+
+
+def _known(held_out: Sequence[str] | DataFrame, stations: DataFrame) -> list[str]:
+    cases = [r[0] for r in held_out.collect()] if isinstance(held_out, DataFrame) else list(held_out)
     unknown = set(cases) - {r[0] for r in stations.select("station_id").collect()}
     if unknown:
         raise KeyError(f"unknown station ids: {sorted(unknown)}")
-    wide = neighbour_features(base, stations, held_out=ids)
-    key = F.concat_ws("|", "held_out", "station_id")
-    sup = build_supervised(wide.withColumn("_sid", F.col("station_id")).withColumn("station_id", key), cfg.horizons)
-    sup = assign_split(sup.withColumn("station_id", F.col("_sid")).drop("_sid"), cfg)
-    sup = staged(sup.dropna(subset=["y", "cams_pm2_5_tgt"]), "held-out", ["held_out"])
-    parts = []
-    for case in cases:
-        rows = sup.where(F.col("held_out") == case)
-        train = rows.where((F.col("split") == "train") & (F.col("station_id") != case))
-        test = rows.where((F.col("split") == "test") & (F.col("station_id") == case))
-        if train.count() < min_train or test.isEmpty():
-            continue
-        model = Corrector("spatial", use_obs_history=False, **params).fit(train)
-        parts.append(model.predict(test).select("held_out", "y", "q50", "nbr_pm25_dist", "cams_pm2_5_tgt"))
-    if not parts:
+    return cases
+
+
+def _error(c: str):
+    return F.when(finite(c, "y"), F.col(c) - F.col("y"))
+
+
+def spatial_baselines(base: DataFrame, stations: DataFrame, cfg: Settings, held_out: Sequence[str] | DataFrame, compat: bool = False) -> DataFrame:
+    """The errors of the two baselines at each held-out station: interpolation from the others, and the forecast."""
+    cases = _known(held_out, stations)
+    _, sup = held_out_rows(base, stations, cfg, compat)
+    test = sup.where((F.col("split") == "test") & F.col("station_id").isin(cases))
+    table = test.groupBy("station_id").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("y").alias("observed_mean"), rmse(_error("idw")).alias("rmse_idw"), rmse(_error("cams_pm2_5_tgt")).alias("rmse_cams"),
+    )
+    return table.join(nearest_other(stations), "station_id", "left")
+
+
+def leave_one_out(
+    base: DataFrame, stations: DataFrame, cfg: Settings, held_out: Sequence[str] | DataFrame, min_train: int = MIN_LOSO_TRAIN,
+    compat: bool = False, at_once: int = 3, **params,
+) -> DataFrame:
+    """Predict each held-out station from the others, its own values removed from every neighbourhood.
+
+    Neighbour sums and supervised rows are made once. A case takes the station's own term from the sums of its
+    training rows; nothing is copied per case. ``at_once`` cases are fitted side by side. ``compat=True``
+    scores the interpolation of the issue hour instead of the target hour's.
+    """
+    cases = _known(held_out, stations)
+    hoods, sup = held_out_rows(base, stations, cfg, compat)
+    sup = staged(sup.where(F.col("split").isin("train", "test")), "held-out")
+    counts = sup.groupBy("station_id", "split").count().collect()
+    n_train = sum(r["count"] for r in counts if r["split"] == "train")
+    own = {(r["station_id"], r["split"]): r["count"] for r in counts}
+    cases = [c for c in cases if n_train - own.get((c, "train"), 0) >= min_train and own.get((c, "test"))]
+    if not cases:
         raise RuntimeError("no station produced a usable evaluation")
 
-    def err(c: str):
-        return F.when(finite(c, "y"), F.col(c) - F.col("y"))
+    def predicted(case: str) -> DataFrame:
+        rows = hoods.less(sup.withColumn("held_out", F.lit(case)), "issue_time")
+        rows = hoods.features(rows, (F.col("station_id") != case) & hoods.counts(hoods.value))
+        train = rows.where((F.col("split") == "train") & (F.col("station_id") != case))
+        test = rows.where((F.col("split") == "test") & (F.col("station_id") == case))
+        model = Corrector("spatial", use_obs_history=False, **params).fit(train.drop("idw"))
+        return model.predict(test).select("held_out", "y", "q50", "idw", "cams_pm2_5_tgt")
 
+    with ThreadPoolExecutor(at_once) as pool:
+        parts = list(pool.map(predicted, cases))
     table = union_all(parts).groupBy(F.col("held_out").alias("station_id")).agg(
-        F.count("*").alias("n"), F.avg("y").alias("observed_mean"), rmse(err("q50")).alias("rmse_graph"),
-        rmse(err("nbr_pm25_dist")).alias("rmse_idw"), rmse(err("cams_pm2_5_tgt")).alias("rmse_cams"),
-        F.avg(F.abs(err("q50"))).alias("mae_graph"), F.avg(err("q50")).alias("bias_graph"),
+        F.count("*").alias("n"), F.avg("y").alias("observed_mean"), rmse(_error("q50")).alias("rmse_graph"),
+        rmse(_error("idw")).alias("rmse_idw"), rmse(_error("cams_pm2_5_tgt")).alias("rmse_cams"),
+        F.avg(F.abs(_error("q50"))).alias("mae_graph"), F.avg(_error("q50")).alias("bias_graph"),
     )
     return table.join(nearest_other(stations), "station_id", "left")
 
 
 def nearest_other(stations: DataFrame) -> DataFrame:
-    """Distance from each station to the closest other one."""
-    a = stations.select("station_id", F.col("lat").alias("l_lat"), F.col("lon").alias("l_lon"))
-    b = stations.select(F.col("station_id").alias("other"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
-    found, radius = None, 50.0
-    rest = a
-    while True:
-        near = pairs_within(rest, b, min(radius, 20100.0)).where("station_id <> other")
-        best = near.groupBy("station_id").agg(F.round(F.min("km"), 1).alias("nearest_km"))
-        found = best if found is None else found.unionByName(best)
-        rest = a.join(found.select("station_id"), "station_id", "left_anti")
-        if radius >= 20100.0 or rest.isEmpty():
-            return found
-        radius *= 4
+    """Distance from each station to the closest other one: 0 where several share a position, else that of the closest other position."""
+    at = places_of(stations)
+    points = at.select("place", "lat", "lon", "stations").distinct()
+    a = points.select("place", F.col("lat").alias("l_lat"), F.col("lon").alias("l_lon"))
+    b = points.select(F.col("place").alias("other"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
+    far = nearest(a, b, "place", "other", apart=True).select("place", "km")
+    km = F.when(F.col("stations") > 1, 0.0).otherwise(F.round("km", 1))
+    return at.join(far, "place", "left").select("station_id", km.alias("nearest_km"))
 
 
 def spatial_means(table: DataFrame) -> DataFrame:
