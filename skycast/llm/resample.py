@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, on_workers, ordered, read
+from skycast.session import staged
+
+from .common import on_workers, ordered, read
 
 #: Longest feature in words, buckets of features, fewest words of a document that can be drawn, percent drawn, seed.
 WORDS, BUCKETS, LEAST_WORDS, PERCENT, SEED = 2, 10_000, 20, 25, 7
@@ -209,7 +211,7 @@ def resampled(
     gain = gains(bucket_counts(docs, "text", longest, buckets), bucket_counts(target, "text", longest, buckets))
     out = weighed(docs.select("doc_id", "text"), gain, longest).withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed))
     out = out.withColumn("can", F.col("n_words") >= least_words).drop("n_words")
-    out = ordered(out, ["can"], [F.desc("score"), "doc_id", "weight", "n_features"], "place", "all")
+    out = ordered(staged(out, "scores"), ["can"], [F.desc("score"), "doc_id", "weight", "n_features"], "place", "all")
     drawn = F.col("can") & (F.col("place") < F.expr(f"`all` * {int(percent)} div 100"))
     return out.select("doc_id", "n_features", "weight", "score", F.when(drawn, F.col("place") + 1).alias("rank"))
 
