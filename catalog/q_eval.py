@@ -128,7 +128,19 @@ def _(spark, sf):
     return evaluation.lead_day_bias(_overlap(spark, sf))
 
 
-@query("e16_clustered_interval")
+M32 = "4294967296"
+HASH = f"""(SELECT lead_day, draw, i AS pick FROM (SELECT lead_day, draw, xor(x, x >> 16) % n AS i FROM (
+  SELECT lead_day, draw, n, (xor(x, x >> 16) * 73244475) % {M32} AS x FROM (SELECT lead_day, draw, n, (xor(x, x >> 16) * 73244475) % {M32} AS x FROM (
+    SELECT lead_day, draw, n, (draw * 2654435761 + slot) % {M32} AS x FROM (SELECT lead_day, n, draw, unnest(range(n)) AS slot FROM (
+      SELECT lead_day, n, unnest(range(2000)) AS draw FROM (SELECT lead_day, count(DISTINCT issue_date) AS n FROM v_overlap GROUP BY 1 HAVING count(DISTINCT issue_date) >= 5))))))))"""
+CLUSTERS = "(SELECT lead_day, row_number() OVER (PARTITION BY lead_day ORDER BY issue_date) - 1 AS pick, sum(delta) AS s, count(*) AS c FROM v_overlap GROUP BY lead_day, issue_date)"
+
+
+@query("e16_clustered_interval", "i:lead_day, i:rows, i:run_days, i:settled_days, d:archive_mean, d:run_mean, d:bias, d:rmse, d:bias_lo, d:bias_hi",
+       f"""FROM (SELECT lead_day, count(*) AS rows, count(DISTINCT issue_date) AS run_days, count(DISTINCT CASE WHEN settled THEN issue_date END) AS settled_days, avg(archive) AS archive_mean,
+         avg(run) AS run_mean, avg(delta) AS bias, sqrt(avg(delta * delta)) AS rmse FROM v_overlap GROUP BY 1)
+       LEFT JOIN (SELECT lead_day, quantile_cont(m, 0.025) AS bias_lo, quantile_cont(m, 0.975) AS bias_hi FROM (
+         SELECT lead_day, draw, sum(s) / sum(c) AS m FROM {HASH} JOIN {CLUSTERS} USING (lead_day, pick) GROUP BY 1, 2) GROUP BY 1) USING (lead_day)""")
 def _(spark, sf):
     return evaluation.lead_day_gap(_overlap(spark, sf))
 

@@ -11,6 +11,7 @@ from skycast.functions import aqi as aq
 from skycast.functions.calendar import calendar_features
 from skycast.functions.distribution import cdf, interval_width, ordered, stage_probabilities
 from skycast.functions.geo import haversine_km
+from skycast.functions import names
 from skycast.functions.names import site_score
 from skycast.operators import align, city, evaluation, matching, neighbours, supervised, windows
 from skycast.operators.attribution import driver_of
@@ -54,9 +55,10 @@ def _(spark, sf):
     return sup.select("station_id", "issue_time", "target_time", "horizon_h", "cams_pm2_5_tgt", "met_wind_speed_10m_tgt")
 
 
-@query("p5_distance_bearing", "receptor, neighbour, d:km, d:bearing=CASE WHEN km > 0 THEN bearing END", "FROM v_geometry")
+@query("p5_distance_bearing", "receptor, neighbour, d:km, d:bearing=CASE WHEN km > 0 THEN bearing END", "FROM v_geometry WHERE km <= 60")
 def _(spark, sf):
-    g = neighbours.geometry(fr.stations(spark, sf))
+    """Pairs up to 60 km apart."""
+    g = neighbours.geometry(fr.stations(spark, sf), 60.0)
     return g.withColumn("bearing", F.when(F.col("km") > 0, F.col("bearing")))
 
 
@@ -220,7 +222,41 @@ def _(spark, sf):
     return p.select("station_id", "location_id", "km", "covers", "span_days")
 
 
-@query("j13_resolve_locations")
+def _sql_list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _sql_words(text: str) -> str:
+    return f"list_distinct(list_filter(regexp_split_to_array(trim(regexp_replace(lower({text}), '[^a-z0-9 ]+', ' ', 'g')), ' +'), lambda w: w <> ''))"
+
+
+def _sql_jaccard(a: str, b: str) -> str:
+    return f"len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct(list_concat({a}, {b})))"
+
+
+def _sql_greedy(pairs: str, left: str, right: str, order: str) -> str:
+    """Pairs (a FROM clause) taken one by one in order, each unless a side is taken."""
+    return f"""FROM (WITH RECURSIVE ranked AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY {order}) AS i {pairs}),
+      pick AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS ls, []::BIGINT[] AS rs, false AS took UNION ALL
+        SELECT r.i, CASE WHEN free THEN list_append(ls, r.{left}) ELSE ls END, CASE WHEN free THEN list_append(rs, r.{right}) ELSE rs END, free
+        FROM (SELECT p.ls, p.rs, r.*, NOT list_contains(p.ls, r.{left}) AND NOT list_contains(p.rs, r.{right}) AS free FROM pick p JOIN ranked r ON r.i = p.i + 1) r)
+      SELECT r.* FROM ranked r JOIN pick p USING (i) WHERE p.took)"""
+
+
+_OURS, _THEIRS = (f"list_filter({_sql_words(c)}, lambda w: length(w) > 1)" for c in ("name", "loc_name"))
+SITE_SCORE = f"""FROM (SELECT *, CASE WHEN len(list_intersect(ka, kb)) = 0 OR (len(na) > 0 AND len(nb) > 0 AND len(list_intersect(na, nb)) = 0) THEN 0.0
+    ELSE {_sql_jaccard('ka', 'kb')} + CASE WHEN list_contains(b, lower(agency)) THEN 0.05 ELSE 0.0 END END AS name_score
+  FROM (SELECT *, list_filter(a, lambda w: NOT list_contains({_sql_list(names.BOILERPLATE)}, w)) AS ka, list_filter(b, lambda w: NOT list_contains({_sql_list(names.BOILERPLATE)}, w)) AS kb,
+      list_filter(a, lambda w: regexp_matches(w, '^[0-9]+$')) AS na, list_filter(b, lambda w: regexp_matches(w, '^[0-9]+$')) AS nb
+    FROM (SELECT *, {_OURS} AS a, {_THEIRS} AS b FROM (
+      SELECT s.station_id, s.name, s.agency, l.*, 2 * 6371.0088::DOUBLE * asin(sqrt(pow(sin((radians(l.lat) - radians(s.lat)) / 2), 2)
+          + cos(radians(s.lat)) * cos(radians(l.lat)) * pow(sin(radians(l.lon - s.lon) / 2), 2))) AS km,
+        l.first_seen <= TIMESTAMP '2022-12-31' AND l.last_seen >= TIMESTAMP '2021-01-01' AS covers, date_diff('day', l.first_seen, l.last_seen) AS span_days
+      FROM v_stations s CROSS JOIN v_locations l) WHERE km <= 3.0))) WHERE covers AND name_score > 0"""
+
+
+@query("j13_resolve_locations", "station_id, i:location_id, loc_name, d:lat=round(lat, 6), d:lon=round(lon, 6), d:distance_km=round(km, 3), first=CAST(first_seen AS DATE), last=CAST(last_seen AS DATE)",
+       _sql_greedy(SITE_SCORE, "station_id", "location_id", "name_score DESC, span_days DESC, km, station_id, location_id"))
 def _(spark, sf):
     return matching.resolve_locations(fr.stations(spark, sf), fr.locations(spark, sf), *WINDOW)
 
@@ -233,7 +269,20 @@ def _(spark, sf):
     return p.select("p_partkey", site_score(F.col("p_name"), F.lit("none"), other).alias("score"))
 
 
-@query("j14_match_by_name")
+def _sql_tokens(text: str) -> str:
+    return (f"list_filter({_sql_words(text)}, lambda w: NOT list_contains({_sql_list(names.NOISE)}, w) AND (length(w) > 1 OR list_contains({_sql_list(names.ROMAN)}, w)))")
+
+
+_ORDINAL = f"lambda w: regexp_matches(w, '^[0-9]+$') OR list_contains({_sql_list(names.ROMAN)}, w)"
+NAME_SCORE = f"""FROM (SELECT *, CASE WHEN len(list_filter(a, {_ORDINAL})) > 0 AND len(list_filter(b, {_ORDINAL})) > 0 AND len(list_intersect(list_filter(a, {_ORDINAL}), list_filter(b, {_ORDINAL}))) = 0 THEN -1.0
+    WHEN len(list_intersect(a, b)) = 0 THEN 0.0
+    WHEN len(list_intersect(a, b)) = len(a) AND len(list_filter(a, lambda w: length(w) >= 6 AND NOT list_contains({_sql_list(names.GENERIC)}, w))) > 0 THEN 1.0
+    ELSE {_sql_jaccard('a', 'b')} END AS score
+  FROM (SELECT s.station_id, s.k AS rank, l.location_id AS candidate_id, l.loc_name AS candidate_name, list_distinct(list_concat({_sql_tokens('s.name')}, {_sql_tokens('s.city')})) AS a,
+      {_sql_tokens("regexp_replace(l.loc_name, '^(.*) - .*$', '\\1')")} AS b FROM v_stations s CROSS JOIN v_locations l) WHERE len(a) > 0 AND len(b) > 0) WHERE score >= 0.55"""
+
+
+@query("j14_match_by_name", "station_id, i:candidate_id, candidate_name, d:score", _sql_greedy(NAME_SCORE, "station_id", "candidate_id", "rank, station_id, score DESC, candidate_id"))
 def _(spark, sf):
     """Stations against external names, roster order first."""
     roster = fr.stations(spark, sf).withColumn("rank", F.col("k"))

@@ -193,6 +193,28 @@ def _(spark, sf):
     return studies.leave_one_out(fr.base(spark, sf), roster, cfg, held)
 
 
+# What the others say of a station, at the target hour or, as written, at the issue hour.
+IDW = """FROM (SELECT s.station_id, count(*) AS n, avg(s.y) AS observed_mean, sqrt(avg(pow(t.dv / greatest(t.d, 1e-9) - s.y, 2))) AS rmse_idw, sqrt(avg(pow(s.cams_pm2_5_tgt - s.y, 2))) AS rmse_cams
+    FROM v_sup s LEFT JOIN v_nbr_sums t ON t.receptor = s.station_id AND t.time = s.{when} WHERE s.split = 'test' AND s.y IS NOT NULL AND s.cams_pm2_5_tgt IS NOT NULL GROUP BY 1)
+  JOIN (SELECT receptor AS station_id, round(min(km), 1) AS nearest_km FROM v_geometry WHERE receptor <> neighbour GROUP BY 1) USING (station_id)"""
+IDW_COLS = "station_id, i:n, d:observed_mean, d:rmse_idw, d:rmse_cams, d:nearest_km"
+
+
+def _spatial_baselines(spark, sf, compat):
+    roster = fr.stations(spark, sf)
+    return studies.spatial_baselines(fr.base(spark, sf), roster, fr.JANUARY, roster.select(F.col("station_id").alias("held_out")), compat)
+
+
+@query("e13_spatial_baselines", IDW_COLS, IDW.format(when="target_time"))
+def _(spark, sf):
+    return _spatial_baselines(spark, sf, False)
+
+
+@query("e13_spatial_baselines_as_written", IDW_COLS, IDW.format(when="issue_time"))
+def _(spark, sf):
+    return _spatial_baselines(spark, sf, True)
+
+
 @query("e14_lead_match_comparison")
 def _(spark, sf):
     return studies.lead_match_comparison(rows(spark, sf), fr.lead(spark, sf))

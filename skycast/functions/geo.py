@@ -107,7 +107,7 @@ def site_tree(sites: DataFrame, axes: list[Column], low: float, width: float, le
     placed = sites.withColumn("_x", x).withColumn("_fine", F.array(*_spots(axes, low, width)))
     levels = F.explode(F.sequence(F.lit(0), F.lit(DEPTH)))
     each = placed.select("_x", "_fine", levels.alias("_level")).withColumn("_cell", _above(F.col("_fine"), DEPTH - F.col("_level")))
-    counted = staged(each.groupBy("_level", "_cell").agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_spot")), "cells")
+    counted = each.groupBy("_level", "_cell").agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_spot"))
     full = counted.where(F.col("_n") > leaf).select((F.col("_level") + 1).alias("_level"), F.col("_cell").alias("_parent"))
     child = counted.withColumn("_parent", _above(F.col("_cell"), F.lit(1)))
     kept = child.join(full, ["_level", "_parent"], "left_semi").unionByName(child.where("_level = 0"))
@@ -120,8 +120,8 @@ def site_tree(sites: DataFrame, axes: list[Column], low: float, width: float, le
 def candidates(
     points: DataFrame, sites: DataFrame, point_axes: list[Column], site_axes: list[Column], low: float, width: float, key: str,
     leaf: int = LEAF, apart: bool = False,
-) -> DataFrame:
-    """(key, site columns): for each point the sites of all leaves that can hold its nearest one.
+) -> DataFrame | None:
+    """(key, site columns): for each point the sites of all leaves that can hold its nearest one; None without sites.
 
     With ``apart``, sites at the point's own position do not count: where the one site known of a cell is
     there, the cell's diagonal bounds the distance to others in it, if it holds any.
@@ -133,6 +133,8 @@ def candidates(
     cells, placed = site_tree(sites, site_axes, low, width, leaf)
     cells = staged(cells, "tree")
     per_level = {r["_level"]: (r["_n"], r["leaves"]) for r in cells.groupBy("_level").agg(F.count(F.lit(1)).alias("_n"), F.count_if(~F.col("_inner")).alias("leaves")).collect()}
+    if not per_level:
+        return None
     deepest, start = max(per_level), 0
     while start < deepest and per_level[start + 1][0] + sum(per_level[k][1] for k in range(start + 1)) <= START:
         start += 1
@@ -179,13 +181,14 @@ def candidates(
 
 def _nearest(left: DataFrame, right: DataFrame, key: str, tie: str, axes, low: float, width: float, measure: str, by, apart: bool = False) -> DataFrame:
     """Left rows with the columns of their nearest right row; ``key`` is unique in left."""
-    if right.isEmpty():
-        return left.withColumn(measure, F.lit(None).cast("double"))
     # of sites at one position only the first by ``tie`` can be chosen
     right = right.groupBy("r_lat", "r_lon").agg(F.min_by(F.struct(*right.columns), tie).alias("_s")).select("_s.*")
     met = candidates(
         left, right, axes(F.col("l_lat"), F.col("l_lon")), axes(F.col("r_lat"), F.col("r_lon")), low, width, key, apart=apart
-    ).join(left.select(key, "l_lat", "l_lon"), key)
+    )
+    if met is None:
+        return left.withColumns({f.name: F.lit(None).cast(f.dataType) for f in right.schema.fields} | {measure: F.lit(None).cast("double")})
+    met = met.join(left.select(key, "l_lat", "l_lon"), key)
     met = met.withColumn(measure, by(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon")))
     extra = [*right.columns, measure]
     best = (met.where(F.col(measure) > 0) if apart else met).groupBy(key).agg(F.min_by(F.struct(*extra), F.struct(measure, tie)).alias("_n"))

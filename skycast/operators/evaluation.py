@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EPISODE_PM25, Settings
 from ..functions.distribution import cdf
+from ..session import broadcast_checked
 from ..sources.store import keep_one
 from .metrics import finite, rmse
 from .quantiles import exact_quantiles, wide_quantiles
@@ -19,6 +19,8 @@ MIN_RUN_DAYS = 20
 SETTLE_DAYS = 4
 DRAWS = 2000
 MIN_CLUSTERS = 5
+# Odd factors of the hash that fixes the draws.
+DRAW_STEP, SEED_STEP, MIX = 2_654_435_761, 40_503, 73_244_475
 LOW_VIS_KM = 1.0
 # Probabilities at which a fog alarm is given.
 FOG_THRESHOLDS = (0.05, 0.10, 0.20, 0.30, 0.50)
@@ -272,37 +274,40 @@ def run_overlap(runs: DataFrame, archive: DataFrame, today: dt.date, value: str
     })
 
 
+def drawn(draw: Column, slot: Column, seed: int, n: Column) -> Column:
+    """A number from 0 to n - 1 fixed by draw, slot and seed: a 32-bit mix in whole-number steps that any SQL has."""
+    x = (draw * F.lit(DRAW_STEP) + slot + F.lit(seed) * F.lit(SEED_STEP)) % F.lit(2**32)
+    for _ in range(2):
+        x = (x.bitwiseXOR(F.shiftright(x, 16)) * F.lit(MIX)) % F.lit(2**32)
+    return x.bitwiseXOR(F.shiftright(x, 16)) % n
+
+
 def clustered_ci(
     df: DataFrame, by: list[str], value: str = "delta", cluster: str = "issue_date", draws: int = DRAWS, seed: int = 0
 ) -> DataFrame:
     """Bootstrap interval of a mean by resampling whole clusters; null below five clusters.
 
-    Only the sum and count of each cluster travel. A cluster is a run day, so the rows of
-    one group are bounded by the calendar; its draws are one vectorised pass in the task.
+    Only the sum and count of each cluster travel. A draw takes as many clusters as there are, each slot's by a
+    hash of (draw, slot, seed); how often a cluster is taken is its weight. All of it is columns: slots are made,
+    counted and weighed in one pass, with no generator whose state depends on where a group runs. A cluster is a run day,
+    so a group's are bounded by the calendar.
     """
     sums = df.where(finite(value)).groupBy(*by, F.col(cluster).alias("_k")).agg(F.sum(value).alias("_s"), F.count("*").alias("_n"))
     keyed = sums if by else sums.withColumn("_g", F.lit(0))
     keys = by or ["_g"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.select(*keys).schema)
-
-    def resample(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pdf[keys].head(1).reset_index(drop=True)
-        n = len(pdf)
-        lo = hi = None
-        if n >= MIN_CLUSTERS:
-            pdf = pdf.sort_values("_k")
-            s, c = pdf["_s"].to_numpy(float), pdf["_n"].to_numpy(float)
-            rng = np.random.default_rng(seed)
-            means = np.empty(draws)
-            step = max(1, 2_000_000 // n)
-            for i in range(0, draws, step):
-                pick = rng.integers(0, n, (min(step, draws - i), n))
-                means[i : i + len(pick)] = s[pick].sum(axis=1) / c[pick].sum(axis=1)
-            lo, hi = np.percentile(means, [2.5, 97.5])
-        return out.assign(bias_lo=lo, bias_hi=hi).astype({"bias_lo": "float64", "bias_hi": "float64"})
-
-    out = keyed.groupBy(*keys).applyInPandas(resample, f"{fields}, bias_lo double, bias_hi double")
-    return out if by else out.drop("_g")
+    own = Window.partitionBy(*keys)
+    ranked = keyed.withColumns({"_i": (F.row_number().over(own.orderBy("_k")) - 1).cast("long"), "_of": F.count(F.lit(1)).over(own)})
+    groups = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_of"))
+    slots = groups.where(F.col("_of") >= MIN_CLUSTERS).withColumn("_draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
+    slots = slots.repartition(*keys, "_draw").withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_of") - 1)))
+    slots = slots.withColumn("_i", drawn(F.col("_draw"), F.col("_slot"), seed, F.col("_of")))
+    side = ranked.select(*(F.col(k).alias(f"{k} of") for k in keys), F.col("_i").alias("_at"), "_s", "_n")
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"{k} of")) for k in keys)) & (F.col("_i") == F.col("_at"))
+    means = slots.join(broadcast_checked(side), same).groupBy(*keys, "_draw").agg((F.sum("_s") / F.sum("_n")).alias("_m"))
+    both = F.percentile("_m", F.array(F.lit(0.025), F.lit(0.975)))
+    bounds = means.groupBy(*(F.col(k).alias(f"{k} of") for k in keys)).agg(both.alias("_b"))
+    of = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"{k} of")) for k in keys))
+    return groups.join(bounds, of, "left").select(*by, F.get("_b", F.lit(0)).alias("bias_lo"), F.get("_b", F.lit(1)).alias("bias_hi"))
 
 
 def lead_day_bias(overlap: DataFrame) -> DataFrame:

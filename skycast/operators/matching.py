@@ -100,13 +100,17 @@ def greedy(pairs: DataFrame, left: str, right: str, order: Sequence[Column], at_
     columns = pairs.columns
     node = lambda side, c: F.xxhash64(F.lit(side), F.col(c).cast("string"))
     rows = staged(pairs.withColumns({"_a": node(0, left), "_b": node(1, right), "_o": F.struct(*order)}), "pairs")
-    of = components(rows.select(F.col("_a").alias("a"), F.col("_b").alias("b")), at_once)
-    rows = staged(rows.join(of, rows._a == of.node).drop("node"), "pairs")
-    sizes = rows.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
     total = rows.count()
-    big = broadcast_checked(sizes.where(F.col("_n") > at_once).select("component"))
-    buckets = 1 + 2 * total // at_once
-    small = rows.join(big, "component", "left_anti").withColumn("_bucket", F.pmod(F.xxhash64("component"), F.lit(buckets)).cast("int"))
+    big = None
+    if total > at_once:
+        of = components(rows.select(F.col("_a").alias("a"), F.col("_b").alias("b")), at_once)
+        rows = staged(rows.join(of, rows._a == of.node).drop("node"), "pairs")
+        sizes = rows.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
+        big = broadcast_checked(sizes.where(F.col("_n") > at_once).select("component"))
+        buckets = 1 + 2 * total // at_once
+        small = rows.join(big, "component", "left_anti").withColumn("_bucket", F.pmod(F.xxhash64("component"), F.lit(buckets)).cast("int"))
+    else:  # all components in one task
+        buckets, small = 1, rows.withColumn("_bucket", F.lit(0))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         used: set[int] = set()
@@ -121,6 +125,8 @@ def greedy(pairs: DataFrame, left: str, right: str, order: Sequence[Column], at_
 
     taken = small.repartition(buckets, "_bucket").sortWithinPartitions("_o").select("_a", "_b").mapInArrow(settle, "_a long, _b long")
     done = small.join(taken, ["_a", "_b"], "left_semi").select(*columns)
+    if big is None:
+        return done
     large = rows.join(big, "component", "left_semi").select(*columns)
     return done if large.isEmpty() else done.unionByName(mutual_best(large, left, right, order))
 

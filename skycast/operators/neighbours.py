@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import bearing_deg, grid, haversine_km, nearest, pairs_within
-from ..session import broadcast_checked, staged
+from ..session import broadcast_bounded, broadcast_checked, staged
 
 LENGTH_KM = 15.0
 WIND_POWER = 2.0
@@ -77,20 +77,19 @@ def places_of(stations: DataFrame) -> DataFrame:
     return stations.select("station_id", "lat", "lon").join(here, ["lat", "lon"])
 
 
-def links(receptors: DataFrame, places: DataFrame, length_km: float = LENGTH_KM) -> tuple[DataFrame, DataFrame]:
-    """(near, far) links of receptors (receptor, l_lat, l_lon) to places (place, r_lat, r_lon, stations), at other positions.
+def links(receptors: DataFrame, places: DataFrame, length_km: float = LENGTH_KM) -> tuple[DataFrame, DataFrame | None]:
+    """(near, far) links, far None if there are none, of receptors (receptor, l_lat, l_lon) to places (place, r_lat, r_lon, stations), at other positions.
 
     Near links reach a fixed number of lengths beyond the receptor's nearest place, as many as the density
     of places needs for all farther ones to weigh nothing against it; so their number per receptor does not
     grow with the area. Far links go on to where even the floored denominators notice nothing. Both carry ``beyond``, the
     sum of the decays of all the receptor's far links, which bounds what leaving them out can change.
     """
-    n = places.count()
     cell = F.array(*(F.floor(x * (111.0 / length_km)) for x in (F.col("r_lat"), F.col("r_lon") * F.cos(F.radians("r_lat")))))
-    densest = places.groupBy(cell.alias("cell")).agg(F.sum("stations").alias("n")).agg(F.max("n")).first()[0] or 1
-    total = places.agg(F.sum("stations")).first()[0] or 1
+    densest, total = places.groupBy(cell.alias("cell")).agg(F.sum("stations").alias("n")).agg(F.max("n"), F.sum("n")).first()
+    densest, total = densest or 1, total or 1
     lengths = in_reach(densest, total, ERROR / LARGEST * UPWIND_SLACK)
-    met = pairs_within(receptors, places, min(negligible_beyond(max(n, total), length_km), math.pi * 6372.0)).where("km > 0")
+    met = pairs_within(receptors, places, min(negligible_beyond(total, length_km), math.pi * 6372.0)).where("km > 0")
     met = met.select(
         "receptor", "place", "stations", "km", F.exp(-F.col("km") / length_km).alias("decay"),
         bearing_deg(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon")).alias("bearing"),
@@ -99,11 +98,13 @@ def links(receptors: DataFrame, places: DataFrame, length_km: float = LENGTH_KM)
     met = met.withColumn("near", F.col("km") <= nearest_km + length_km * lengths)
     beyond = F.coalesce(F.sum(F.when(~F.col("near"), F.col("decay") * F.col("stations"))).over(Window.partitionBy("receptor")), F.lit(0.0))
     met = staged(met.withColumn("beyond", beyond).drop("km", "stations"), "links")
-    return met.where("near").drop("near"), met.where("not near").drop("near")
+    counts = {r["near"]: r["count"] for r in met.groupBy("near").count().collect()}
+    near, far = (broadcast_bounded(met.where(F.col("near") == x).drop("near"), counts.get(x, 0)) for x in (True, False))
+    return near, far if counts.get(False) else None
 
 
 def kernel_sums(
-    values: DataFrame, winds: DataFrame, near: DataFrame, far: DataFrame, power: float = WIND_POWER, keys: Sequence[str] = ()
+    values: DataFrame, winds: DataFrame, near: DataFrame, far: DataFrame | None, power: float = WIND_POWER, keys: Sequence[str] = ()
 ) -> DataFrame:
     """(time, receptor, point and the four sums) of the kernel over the values of other places.
 
@@ -116,14 +117,14 @@ def kernel_sums(
     of = ["time", "receptor", "point"]
 
     def sums(winds: DataFrame, over: DataFrame) -> DataFrame:
-        met = values.join(broadcast_checked(over), "place").join(winds.hint("shuffle_hash"), ["time", "receptor", *keys])
+        met = values.join(over, "place").join(winds.hint("shuffle_hash"), ["time", "receptor", *keys])
         return met.withColumn("w", F.col("decay") * share).groupBy(*of).agg(
             F.sum(F.col("decay") * F.col("n")).alias("d"), F.sum(F.col("decay") * F.col("total")).alias("dv"),
             F.sum(F.col("w") * F.col("n")).alias("u"), F.sum(F.col("w") * F.col("total")).alias("uv"),
         )
 
     first = sums(winds, near)
-    if far.isEmpty():
+    if far is None:
         return first
     first = staged(first, "near-sums")
     # receptors without any near value that hour have no row yet
@@ -221,7 +222,7 @@ class Neighbourhoods:
         usable = broadcast_checked(usable.join(ids, "held_out", "left_semi"))
         other = self.at.select(F.col("station_id").alias("held_out"), F.col("place").alias("_to"))
         mine = self.at.select("station_id", F.col("place").alias("_from"))
-        met = self.near.unionByName(self.far).select(F.col("receptor").alias("_from"), F.col("place").alias("_to"), "decay", "bearing")
+        met = (self.near if self.far is None else self.near.unionByName(self.far)).select(F.col("receptor").alias("_from"), F.col("place").alias("_to"), "decay", "bearing")
         same = mine.join(other, F.col("_from") == F.col("_to")).where("station_id <> held_out")
         toward = mine.join(met, "_from").join(other, "_to").select("station_id", "held_out", "decay", "bearing")
         toward = toward.unionByName(same.select("station_id", "held_out", F.lit(1.0).alias("decay"), F.lit(0.0).alias("bearing")))
@@ -374,7 +375,7 @@ def surfaces(base: DataFrame, stations: DataFrame, cells: DataFrame, value: str
     """Surfaces for every hour of ``base``."""
     wind = base.groupBy("time").agg(F.coalesce(F.avg(WIND_COL), F.lit(0.0)).alias("wind_from_deg"))
     rows = base.select("station_id", "time", F.col(value).alias("pm25")).join(wind, "time")
-    return surface(rows, stations, cells).join(grid_frame(stations, cells), ["lat", "lon"])
+    return surface(staged(rows, "surface-values"), stations, cells).join(grid_frame(stations, cells), ["lat", "lon"])
 
 
 def domain_grid(spark, cfg) -> DataFrame:
