@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -68,15 +69,15 @@ class Rules:
     intercept: float
 
     def column(self, prefix: str = "stat_") -> Column:
-        """The score from 0 to 1 as a column over the statistics."""
-        z = F.lit(self.intercept)
+        """The score from 0 to 1 as a column over the statistics: a balanced sum, since plans of deep chains cost the driver memory."""
+        terms = [F.lit(self.intercept)]
         for rule, w in zip(self.rules, self.weights):
-            held = F.lit(True)
-            for k, over, cut in rule:
-                c = F.col(prefix + STATISTICS[k])
-                held = held & (c > cut if over else c <= cut)
-            z = z + F.when(held, F.lit(w)).otherwise(F.lit(0.0))
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+            sides = [F.col(prefix + STATISTICS[k]) > cut if over else F.col(prefix + STATISTICS[k]) <= cut for k, over, cut in rule]
+            held = reduce(lambda a, b: a & b, sides)
+            terms.append(F.when(held, F.lit(w)).otherwise(F.lit(0.0)))
+        while len(terms) > 1:
+            terms = [a + b for a, b in zip(terms[::2], terms[1::2])] + terms[len(terms) & ~1 :]
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-terms[0]))
 
 
 def _paths(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> list[tuple[tuple[int, bool, float], ...]]:
