@@ -65,9 +65,9 @@ def test_packing_holds_the_librarys_ids_without_gaps(spark):
     from tokenizers import Tokenizer
 
     texts = [*odd_texts(), "It's 12,3 ... we'LL\nΣΊΣΥΦΟΣ, ΣΑΣ. İstanbul K é ﬁ ß <|endoftext|>, x!! (y) z###", prose(5, 700)]
+    texts += ["hello <|endoftext|> world", "a<|startoftext|>B <|endoftext|><|endoftext|>.", "<|ENDOFTEXT|> <|endoftext| >", "<|endoftext|>\u0301 e\u0301"]
     rows = packing.pack_documents(documents(spark, texts), capacity=256, keep_ids=True).collect()
     tokenizer = Tokenizer.from_file(packing.tokenizer_path())
-    tokenizer.encode_special_tokens = True
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r.doc_id].append(r)
