@@ -54,6 +54,12 @@ def events(spark, sf) -> DataFrame:
     )
 
 
+def reading_value() -> Column:
+    """The measured value; one day in nine each station's sensor is stuck, so that flags of every kind occur."""
+    stuck = (F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 86400) + F.floor(F.col("user_id") / USERS_PER_STATION)) % 9 == 0
+    return F.when(stuck, F.lit(30.0)).otherwise(F.col("value"))
+
+
 _PERIOD: dict[str, tuple[str, str]] = {}
 
 
@@ -71,11 +77,11 @@ def text_readings(spark, sf) -> DataFrame:
     utc = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     local = F.concat(F.date_format(F.col("ts") + F.expr("INTERVAL 330 MINUTES"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+05:30"))
     stamp = F.when(F.col("event_id") % 2 == 0, utc).otherwise(local)
-    return e.select("station_id", stamp.alias("datetime"), (F.col("value") * SCALE).alias("value"))
+    return e.select("station_id", stamp.alias("datetime"), (reading_value() * SCALE).alias("value"))
 
 
 def readings(spark, sf) -> DataFrame:
-    return events(spark, sf).select("station_id", F.date_trunc("hour", "ts").alias("time"), (F.col("value") * SCALE).alias("value"))
+    return events(spark, sf).select("station_id", F.date_trunc("hour", "ts").alias("time"), (reading_value() * SCALE).alias("value"))
 
 
 def hourly(spark, sf) -> DataFrame:
@@ -156,13 +162,15 @@ def metar(spark, sf) -> DataFrame:
 
 
 def fires(spark, sf) -> DataFrame:
-    return events(spark, sf).where("event_type = 'error'").select(F.date_trunc("second", "ts").alias("time"), F.col("value").alias("frp"))
+    """No detections are held for every sixth day of the month."""
+    return events(spark, sf).where("event_type = 'error' AND dayofmonth(ts) % 6 <> 0").select(F.date_trunc("second", "ts").alias("time"), F.col("value").alias("frp"))
 
 
 def corridor(spark, sf) -> DataFrame:
+    """Stations in one sector, so the wind comes from it at times and at times not."""
     return table(spark, sf, "nation").select(
         F.concat(F.lit("U"), F.lpad(F.col("n_nationkey").cast("string"), 3, "0")).alias("upwind_id"),
-        (F.col("n_nationkey") * 11.5 + 65.0).alias("distance_km"), (F.col("n_nationkey") * 29.0 % 360.0).alias("bearing_deg"),
+        (F.col("n_nationkey") * 11.5 + 65.0).alias("distance_km"), (F.col("n_nationkey") * 29.0 % 60.0 + 230.0).alias("bearing_deg"),
     )
 
 

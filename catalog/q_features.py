@@ -12,6 +12,7 @@ from skycast.functions.calendar import calendar_features
 from skycast.functions.distribution import cdf, interval_width, ordered, stage_probabilities
 from skycast.functions.geo import haversine_km
 from skycast.functions import names
+from skycast.functions.meteo import mean_direction
 from skycast.functions.names import site_score
 from skycast.operators import align, city, evaluation, matching, neighbours, supervised, windows
 from skycast.operators.attribution import driver_of
@@ -21,6 +22,7 @@ from skycast.operators.supervised import time_folds
 from skycast.operators.quantiles import exact_quantiles
 from skycast.operators.transport import corridor_series
 from skycast.plans.base import scorable
+from skycast.plans.products import last_observed
 from skycast.sources.store import keep_one
 
 from . import frames as fr
@@ -348,7 +350,7 @@ def _(spark, sf):
 
 @query("a7_last_observed", "t:issue=max(time)", "FROM v_base WHERE pm25_clean IS NOT NULL")
 def _(spark, sf):
-    return fr.base(spark, sf, False).where("pm25_clean IS NOT NULL").agg(F.max("time").alias("issue"))
+    return spark.createDataFrame([(last_observed(fr.base(spark, sf, False)),)], "issue timestamp")
 
 
 @query("a10_city_series", "t:target_time, d:forecast=avg(q50), d:lower=avg(q10), d:upper=avg(q90), d:observed=avg(y), d:cams=avg(cams_pm2_5_tgt), i:n_stations=count(*)", "FROM v_held WHERE model = 'raw-cams' GROUP BY 1")
@@ -459,6 +461,14 @@ def _(spark, sf):
     return _corridor(spark, sf).select("time", "upwind_pm25", "upwind_distance_km", "upwind_transport_h", "upwind_alignment")
 
 
+@query("g3_mean_wind", "t:time, d:arithmetic=avg(d), d:circular=(degrees(atan2(avg(sin(radians(d))), avg(cos(radians(d))))) + 360.0::DOUBLE) % 360.0::DOUBLE",
+       "FROM (SELECT time, wind_direction_10m AS d FROM v_meteo) GROUP BY 1")
+def _(spark, sf):
+    """Both ways to average an hour's wind direction."""
+    d = "wind_direction_10m"
+    return fr.meteo(spark, sf).groupBy("time").agg(mean_direction(d).alias("arithmetic"), mean_direction(d, circular=True).alias("circular"))
+
+
 GRID = "(SELECT round(28.1::DOUBLE + i * 0.05::DOUBLE, 4) AS lat, round(76.7::DOUBLE + j * 0.05::DOUBLE, 4) AS lon FROM (SELECT unnest(range(21)) AS i), (SELECT unnest(range(21)) AS j))"
 KM = """2 * 6371.0088::DOUBLE * asin(sqrt(pow(sin((radians(s.lat) - radians(c.lat)) / 2), 2)
         + cos(radians(c.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - c.lon) / 2), 2)))"""
@@ -543,9 +553,13 @@ def _(spark, sf):
 
 
 # -- sets and order ---------------------------------------------------------
-@query("t2_top_edges", "i:o_orderkey, d:o_totalprice", "FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20)")
+@query("t2_top_edges", "receptor=a.name, upwind_neighbour=b.name, d:distance_km=round(km, 1), d:bearing_deg=round(bearing, 0), d:weight=w",
+       """FROM (SELECT *, round(exp(-km / 40.0) * pow(greatest(cos(radians(90.0 - bearing)), 0.0), 2), 4) AS w FROM v_geometry WHERE receptor <> neighbour
+         AND exp(-km / 40.0) * pow(greatest(cos(radians(90.0 - bearing)), 0.0), 2) > 0 ORDER BY w DESC, receptor, neighbour LIMIT 25) e
+         JOIN v_stations a ON a.station_id = e.receptor JOIN v_stations b ON b.station_id = e.neighbour""")
 def _(spark, sf):
-    return fr.table(spark, sf, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)
+    """The 25 strongest edges under an easterly wind and a longer kernel."""
+    return neighbours.edge_table(fr.stations(spark, sf), wind_from=90.0, length_km=40.0, top=25)
 
 
 @query("u1_union_by_name", f"{KEY}, d:pm25, d:pm10", "FROM (SELECT station_id, time, pm25, NULL AS pm10 FROM v_hourly UNION ALL SELECT station_id, time, NULL, pm10 FROM v_cams)")
@@ -571,6 +585,13 @@ def _(spark, sf):
     return fr.supervised(spark, sf).select("station_id", "issue_time", "target_time", "horizon_h", "split", "block_label")
 
 
+@query("m1_split_labels_before", f"{SUP}, split=CASE WHEN split = 'train' AND target_time >= TIMESTAMP '2024-01-14' THEN 'later' ELSE split END, block_label", "FROM v_sup")
+def _(spark, sf):
+    """Training precedes evaluation."""
+    sup = supervised.assign_split(fr.supervised(spark, sf).drop("split", "block_label"), fr.JANUARY, before=True)
+    return sup.select("station_id", "issue_time", "target_time", "horizon_h", "split", "block_label")
+
+
 FOLDS = """FROM (SELECT issue_time, c, least(CAST(floor(coalesce(sum(c) OVER (ORDER BY issue_time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 3 / sum(c) OVER ()) AS BIGINT), 2) AS fold
   FROM (SELECT issue_time, count(*)::DOUBLE AS c FROM v_sup0 GROUP BY 1)) GROUP BY fold"""
 

@@ -69,10 +69,12 @@ def _(spark, sf):
 
 
 @query("s07_missing_dates", "date",
-       "FROM (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-08-01', INTERVAL 1 DAY)) AS DATE) AS date) WHERE date NOT IN (SELECT DISTINCT CAST(o_orderdate AS DATE) FROM orders)")
+       "FROM (SELECT DISTINCT CAST(time AS DATE) AS date FROM v_hours) WHERE date NOT IN (SELECT CAST(time AS DATE) FROM v_hourly WHERE day(time) % 4 <> 0)")
 def _(spark, sf):
-    held = fr.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("date")).distinct()
-    return st.calendar_days(spark, "1995-01-01", "2001-08-01").join(held, "date", "left_anti")
+    """A dataset that lacks every fourth day of the month."""
+    store = st.Store(spark, scratch(spark, "gaps"))
+    store.write(fr.hourly(spark, sf).where(F.dayofmonth("time") % 4 != 0), "cpcb")
+    return store.missing_dates("cpcb", *fr.period(spark, sf))
 
 
 @query("s08_coverage", "dataset, i:days, first, last, i:rows, d:age_hours",
@@ -114,10 +116,10 @@ def _(spark, sf):
     return st.missing_stations(_dated(fr.cams_settled(spark, sf)), fr.stations(spark, sf).select("station_id"))
 
 
-@query("s11_stations_missing_from", "station_id", "FROM v_stations WHERE station_id NOT IN (SELECT station_id FROM v_settled WHERE time IN (TIMESTAMP '1995-01-02', TIMESTAMP '1995-01-03'))")
+@query("s11_stations_missing_from", "station_id", "FROM v_stations WHERE station_id NOT IN (SELECT station_id FROM v_settled WHERE pm2_5 > 80 AND time IN (TIMESTAMP '1995-01-02', TIMESTAMP '1995-01-03'))")
 def _(spark, sf):
     days = [dt.date(1995, 1, 2), dt.date(1995, 1, 3)]
-    return st.stations_missing_from(_dated(fr.cams_settled(spark, sf)), fr.stations(spark, sf).select("station_id"), days)
+    return st.stations_missing_from(_dated(fr.cams_settled(spark, sf).where("pm2_5 > 80")), fr.stations(spark, sf).select("station_id"), days)
 
 
 @query("s12_thin_days", "day, i:hours", "FROM (SELECT CAST(time AS DATE) AS day, count(DISTINCT time) AS hours FROM v_metar WHERE time >= TIMESTAMP '2024-01-24' AND time < TIMESTAMP '2024-01-31' GROUP BY 1) WHERE hours < 24")

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def mean_direction(degrees: str, circular: bool = False) -> Column:
+    """An aggregate: the mean of a direction in degrees, arithmetic, or with ``circular`` that of unit vectors (350 and 10 give 0)."""
+    if not circular:
+        return F.avg(degrees)
+    x, y = F.avg(F.cos(F.radians(degrees))), F.avg(F.sin(F.radians(degrees)))
+    return (F.degrees(F.atan2(y, x)) + 360.0) % 360.0
+
+
 def derive(df: DataFrame) -> DataFrame:
     have = set(df.columns)
     new = {}

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import bearing_deg, grid, haversine_km, nearest, pairs_within
+from ..functions.meteo import mean_direction
 from ..session import broadcast_bounded, broadcast_checked, staged
 
 LENGTH_KM = 15.0
@@ -247,8 +248,7 @@ class Neighbourhoods:
             out = out.withColumns({c: F.when(F.col("_thin"), F.col(f"{c} anew")).otherwise(F.col(f"{c} left")) for c in SUMS}).drop(*(f"{c} anew" for c in SUMS))
         else:
             out = out.withColumns({c: F.col(f"{c} left") for c in SUMS})
-        gone = (F.col("_held").isNotNull() & (F.col("station_id") != F.col("held_out"))) | (F.col("_held").isNotNull() & (F.col("station_id") == F.col("held_out")))
-        return out.withColumn("nbr_n", F.col("nbr_n") - gone.cast("int")).drop("_held", "decay", "bearing", "_thin", *(f"{c} left" for c in SUMS))
+        return out.withColumn("nbr_n", F.col("nbr_n") - F.col("_held").isNotNull().cast("int")).drop("_held", "decay", "bearing", "_thin", *(f"{c} left" for c in SUMS))
 
     def features(self, df: DataFrame, mine: Column) -> DataFrame:
         """nbr_pm25_wind, nbr_pm25_dist and nbr_count in place of the sums; ``mine``: whether the row's own value is counted in nbr_n."""
@@ -371,9 +371,9 @@ def surface_for_hour(base: DataFrame, when, stations: DataFrame, cells: DataFram
     return surfaces(hour, stations, cells, value)
 
 
-def surfaces(base: DataFrame, stations: DataFrame, cells: DataFrame, value: str = "pm25_clean") -> DataFrame:
-    """Surfaces for every hour of ``base``."""
-    wind = base.groupBy("time").agg(F.coalesce(F.avg(WIND_COL), F.lit(0.0)).alias("wind_from_deg"))
+def surfaces(base: DataFrame, stations: DataFrame, cells: DataFrame, value: str = "pm25_clean", circular: bool = False) -> DataFrame:
+    """Surfaces for every hour of ``base``, under its mean wind (of vectors with ``circular``)."""
+    wind = base.groupBy("time").agg(F.coalesce(mean_direction(WIND_COL, circular), F.lit(0.0)).alias("wind_from_deg"))
     rows = base.select("station_id", "time", F.col(value).alias("pm25")).join(wind, "time")
     return surface(staged(rows, "surface-values"), stations, cells).join(grid_frame(stations, cells), ["lat", "lon"])
 

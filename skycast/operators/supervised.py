@@ -77,12 +77,13 @@ def lead_match(sup: DataFrame, lead: DataFrame | None, variables: Sequence[str]
 
 
 def assign_split(
-    df: DataFrame, cfg: Settings, time_col: str = "issue_time", target_col: str = "target_time"
+    df: DataFrame, cfg: Settings, time_col: str = "issue_time", target_col: str = "target_time", before: bool = False
 ) -> DataFrame:
     """split and block_label by literal conditions: no join, no shuffle.
 
     A row belongs to a block when its issue or its target time lies inside; the later
-    block wins. Near a block it is embargo, anywhere else train.
+    block wins. Near a block it is embargo, anywhere else train. With ``before`` training must
+    precede evaluation: rows that reach past the start of the first block are ``later`` instead.
     """
     times = [F.col(c) for c in (time_col, target_col) if c in df.columns]
     pad = cfg.embargo_h
@@ -105,7 +106,10 @@ def assign_split(
         near = close if near is None else near | close
     if chain is None:
         return df.withColumn("split", F.lit("train")).withColumn("block_label", label)
-    split = chain.when(near, "embargo").otherwise("train")
+    split = chain.when(near, "embargo")
+    if before:
+        split = split.when(F.greatest(*times, *times[:1]) >= F.lit(str(blocks[0].lower)).cast("timestamp"), "later")
+    split = split.otherwise("train")
     return df.withColumn("split", split).withColumn("block_label", labels.otherwise(label))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.meteo import mean_direction
 from ..functions.numeric import at_least, clip
 from ..session import broadcast_checked
 from .neighbours import FLOOR, WIND_FLOOR, upwind_share
@@ -20,15 +21,16 @@ COLUMNS = (
 )
 
 
-def corridor_series(base: DataFrame, corridor: DataFrame, obs: DataFrame, compat: bool = False) -> DataFrame:
+def corridor_series(base: DataFrame, corridor: DataFrame, obs: DataFrame, compat: bool = False, circular: bool = False) -> DataFrame:
     """One row per hour with wind and at least one corridor observation.
 
     ``corridor`` has upwind_id, distance_km, bearing_deg; ``obs`` has upwind_id, time,
     pm25, quality_flag. Null means nothing was upwind; alignment keeps its zero.
-    ``compat=True`` advects and lags by rows of this series instead of by hours.
+    ``compat=True`` advects and lags by rows of this series instead of by hours. ``circular`` averages
+    the wind direction of an hour as vectors instead of as numbers.
     """
     wind = base.groupBy("time").agg(
-        F.avg("met_wind_direction_10m").alias("_dir"), F.avg("met_wind_speed_10m").alias("_speed")
+        mean_direction("met_wind_direction_10m", circular).alias("_dir"), F.avg("met_wind_speed_10m").alias("_speed")
     )
     ok = obs.where(F.col("quality_flag") == "ok").groupBy("upwind_id", "time").agg(F.avg("pm25").alias("_v"))
     known = corridor.join(ok.select("upwind_id").distinct(), "upwind_id", "left_semi")

@@ -14,6 +14,7 @@ from ..functions.calendar import calendar_features
 from ..functions.distribution import stage_probabilities
 from ..operators.align import count_hours, hourly_index, in_range, join_airport, join_fires, join_observations, join_run
 from ..operators.attribution import drivers
+from ..operators.city import scope_to_city
 from ..operators.evaluation import city_series, lead_day_bias, sufficiency
 from ..operators.metrics import finite, rmse
 from ..operators.models import Calibrated, Corrector, Model
@@ -88,11 +89,19 @@ def replay_rows(src: Sources, day: dt.date, horizon: int, cfg: Settings, margin:
     return sup.where(F.to_date("target_time") == F.lit(day)).dropna(subset=["cams_pm2_5_tgt"])
 
 
-def replay(model: Model, window: DataFrame, cfg: Settings, horizon: int, top: int = 5) -> dict[str, DataFrame]:
-    """City series, skill, stage probabilities and drivers of a replayed day."""
+def of_city(scored: DataFrame, roster: DataFrame | None, cfg: Settings, compat: bool = False) -> DataFrame:
+    """The rows that a city answer averages: the stations of the city; ``compat=True`` (or no roster) averages every station."""
+    return scored if compat or roster is None else scope_to_city(scored, roster, cfg)
+
+
+def replay(
+    model: Model, window: DataFrame, cfg: Settings, horizon: int, top: int = 5, roster: DataFrame | None = None,
+    compat: bool = False, trained_through: dt.date | None = None,
+) -> dict[str, DataFrame]:
+    """City series, skill, stage probabilities, drivers and split of a replayed day; the city is scoped as in ``of_city``."""
     window = staged(window, "replay")
     scored = model.predict(window)
-    series = city_series(scored)
+    series = city_series(of_city(scored, roster, cfg, compat))
     skill = scored.agg(
         F.count(F.when(finite("y", "q50"), 1)).alias("n"),
         F.round(rmse(F.when(finite("y", "q50"), F.col("q50") - F.col("y"))), 1).alias("rmse_model"),
@@ -102,6 +111,7 @@ def replay(model: Model, window: DataFrame, cfg: Settings, horizon: int, top: in
     )
     return {
         "city_series": series, "skill": skill, "grap": day_stage(series, cfg),
+        "split": split_of_day(window.select(F.to_date("target_time").alias("day")).distinct(), cfg, trained_through),
         "drivers": drivers(model, window, horizon, ["station_id", "issue_time"], top),
     }
 
@@ -163,10 +173,12 @@ def live_supervised(base: DataFrame, horizons, issue: dt.datetime | None = None)
     return rows.withColumn("target_time", shift_hours("issue_time", "horizon_h")).join(targets, ["station_id", "target_time"])
 
 
-def live_forecast(model: Model, sup: DataFrame, roster: DataFrame, cfg: Settings, now: dt.datetime) -> dict[str, DataFrame]:
-    """Station rows, city interval with stage probabilities per horizon, and staleness."""
+def live_forecast(
+    model: Model, sup: DataFrame, roster: DataFrame, cfg: Settings, now: dt.datetime, compat: bool = False, overlap: DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """Station rows, city interval with stage probabilities per horizon, staleness, and with ``overlap`` the gap of the served input."""
     scored = staged(model.predict(sup), "live")
-    per = scored.groupBy("horizon_h", "target_time").agg(
+    per = of_city(scored, roster, cfg, compat).groupBy("horizon_h", "target_time").agg(
         F.avg("q10").alias("q10"), F.avg("q50").alias("q50"), F.avg("q90").alias("q90"), F.max("issue_time").alias("issue_time")
     )
     age = F.round((F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("issue_time")) / 3600.0, 1)
@@ -179,6 +191,8 @@ def live_forecast(model: Model, sup: DataFrame, roster: DataFrame, cfg: Settings
         "horizon_h", "station_id", F.round("q50", 1).alias("pm25"), F.round("q10", 1).alias("lower"), F.round("q90", 1).alias("upper")
     ).join(roster.select("station_id", "name", "lat", "lon"), "station_id", "left")
     out = {"city": city, "stations": stations}
+    if overlap is not None:
+        out["input_gap"] = input_gap(overlap)
     forests = getattr(getattr(model, "inner", model), "forests", {})
     if 72 in forests:
         out["drivers"] = drivers(model, sup, 72, ["station_id", "issue_time"], 5)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..functions.geo import haversine_km, nearest
 from ..functions.meteo import derive
+from ..operators.order import ordered
 from ..operators.quality import flag_quality
 
 # Unit conversions of the airport reports.
@@ -223,20 +224,17 @@ def discover(
 def allocate_ids(records: DataFrame, roster: DataFrame, order: str = "km_from_centre") -> DataFrame:
     """Continue the id series of every prefix in record order; co-located records are left out.
 
-    Records are few new stations, ranked per id prefix.
+    Records are numbered by ranges of (prefix, order), so a prefix with all of them is spread over tasks.
     """
-    from pyspark.sql import Window
-
     fresh = records.where(~F.coalesce("colocated", F.lit(False)))
     fresh = fresh.withColumn("city", names.city_of(F.col("raw_name"))).withColumn("prefix", names.prefix_of(F.col("city")))
     used = roster.select(
         F.regexp_extract("station_id", r"^([A-Z]+)(\d+)", 1).alias("prefix"),
         F.expr(r"try_cast(regexp_extract(station_id, '^([A-Z]+)(\\d+)', 2) AS int)").alias("n"),
     ).where("n is not null").groupBy("prefix").agg(F.max("n").alias("used"))
-    rank = F.row_number().over(Window.partitionBy("prefix").orderBy(order, "location_id"))
-    number = F.coalesce("used", F.lit(0)) + F.col("rank")
+    number = F.coalesce("used", F.lit(0)) + F.col("rank") + 1
     return (
-        fresh.withColumn("rank", rank)
+        ordered(fresh.drop("rank"), ["prefix"], [order, "location_id"], "rank")
         .join(used, "prefix", "left")
         .withColumn("station_id", F.concat("prefix", F.lpad(number.cast("string"), F.greatest(F.lit(3), F.length(number.cast("string"))), F.lit("0"))))
         .drop("used", "rank")

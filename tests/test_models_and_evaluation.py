@@ -277,6 +277,16 @@ def test_resolution_is_globally_greedy_and_needs_coverage_and_name(spark):
     assert [(r["station_id"], r["location_id"]) for r in got] == [("B", 1)]
 
 
+# -- search ------------------------------------------------------------------
+def test_search_ranks_trials_against_the_default_settings(spark, sup):
+    from skycast.operators.models import tune
+
+    got = tune(sup.where("issue_time < '2024-12-01'"), sup.where("issue_time >= '2024-12-01'"), trials=2, space={"trees": (2,), "depth": (1, 2)}).collect()
+    assert [r["val_rmse"] for r in got] == sorted(r["val_rmse"] for r in got) and 2 <= len(got) <= 3
+    base = next(r for r in got if r["params"] == "{}")
+    assert base["gain"] == 0.0 and all(abs(r["gain"] - (base["val_rmse"] - r["val_rmse"]) / base["val_rmse"]) < 1e-12 for r in got)
+
+
 # -- products ---------------------------------------------------------------
 def test_availability_reasons_split_and_freshness(spark):
     day = dt.date

@@ -32,6 +32,72 @@ def test_stream_over_several_files_equals_batch(spark):
     assert live.flagged(store, "cpcb", "2024-11-01", "2024-11-01").where("quality_flag is null").count() == 0
 
 
+def test_late_readings_reach_the_healing_table_and_heal_to_the_batch_result(spark):
+    """Batches move the watermark on; what comes after it is kept apart, once, and repaired from the landed readings."""
+    path, late = scratch(spark, "landing"), scratch(spark, "late")
+    schema = "station_id string, event_time timestamp, value double"
+    at = lambda h, m=0: T0 + dt.timedelta(hours=h, minutes=m)
+    parts = [
+        [("A", at(0, 5), 10.0), ("A", at(1), 20.0), ("B", at(0), 7.0)],
+        [("A", at(30), 30.0), ("A", at(29), 5.0), ("B", at(30), 8.0), ("B", at(30), None)],
+        [("A", at(0, 40), 50.0), ("A", at(0, 50), 60.0), ("A", at(29, 30), 7.0), ("C", at(2), 9.0), ("A", at(31), 1.0)],
+        [("A", at(0, 55), 100.0), ("B", at(31), 2.0)],
+    ]
+    store, mark = Store(spark, scratch(spark, "store")), scratch(spark, "mark")
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(schema).parquet(path)
+        live.upsert_stream(live.hourly_with_late(stream), store, "cpcb", mark, late=late).awaitTermination()
+    hours = {(r["station_id"], r["time"]) for r in live.late_hours(spark, late).collect()}
+    assert hours == {("A", at(0)), ("C", at(2))}
+    before = by(store.read_range("cpcb", "2024-11-01", "2024-11-02"), "station_id", "time")
+    assert before["A", at(0)]["n_obs"] == 1 and before["A", at(29)]["n_obs"] == 2 and ("C", at(2)) not in before
+    landed = spark.read.schema(schema).parquet(path)
+    want = by(hourly_stats(landed.withColumn("time", F.date_trunc("hour", "event_time"))), "station_id", "time")
+    for _ in range(2):
+        live.heal(store, "cpcb", landed, live.late_hours(spark, late), "event_time")
+        got = by(store.read_range("cpcb", "2024-11-01", "2024-11-02"), "station_id", "time")
+        assert {k: (v["pm25"], v["pm25_min"], v["pm25_max"], v["n_obs"]) for k, v in got.items()} == {k: (v["pm25"], v["pm25_min"], v["pm25_max"], v["n_obs"]) for k, v in want.items()}
+    assert live.late_hours(spark, scratch(spark, "none")).count() == 0
+    with pytest.raises(ValueError):
+        live.upsert_stream(live.hourly_with_late(stream), store, "cpcb", mark)
+
+
+def test_domain_data_shows_every_branch():
+    from catalog.registry import SQL, compose
+    from check import TABLES
+
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.01/{t}.parquet'")
+    kinds = lambda c, v: {r[0] for r in con.execute(compose(f"SELECT DISTINCT {c} FROM {v}")).fetchall()}
+    assert kinds("quality_flag", "v_obs") == {"ok", "stuck", "suspect_low", "suspect_high"}
+    assert kinds("fires_available", "v_fire_series") == {True, False}
+    assert len(con.execute(SQL["e04_wind_strata"]).fetchall()) == 3
+    both = [sorted(map(repr, con.execute(SQL[n]).fetchall())) for n in ("q2_quality_flags", "q2_quality_flags_as_written", "e13_spatial_baselines", "e13_spatial_baselines_as_written")]
+    assert both[0] != both[1] and both[2] != both[3]
+    assert con.execute(SQL["s11_stations_missing_from"]).fetchall() and con.execute(SQL["s07_missing_dates"]).fetchall()
+
+
+def test_training_can_be_held_to_precede_evaluation(spark):
+    from skycast.config import Block, Settings
+    from skycast.operators.supervised import assign_split
+
+    cfg = Settings(blocks=(Block("val", "2024-01-14", "2024-01-15", "a"), Block("test", "2024-01-21", "2024-01-25", "b")), embargo_h=24)
+    days = [(dt.datetime(2024, 1, d), dt.datetime(2024, 1, d) + dt.timedelta(hours=24)) for d in (2, 12, 14, 17, 22, 28)]
+    df = spark.createDataFrame(days, "issue_time timestamp, target_time timestamp")
+    split = lambda before: [r["split"] for r in assign_split(df, cfg, before=before).orderBy("issue_time").collect()]
+    assert split(False) == ["train", "embargo", "val", "train", "test", "train"] and split(True) == ["train", "embargo", "val", "later", "test", "later"]
+
+
+def test_directions_average_as_vectors_on_request(spark):
+    from skycast.functions.meteo import mean_direction
+
+    df = spark.createDataFrame([(350.0,), (10.0,), (None,)], "d double")
+    plain, vectors = df.agg(mean_direction("d"), mean_direction("d", circular=True)).first()
+    assert plain == 180.0 and min(vectors, 360 - vectors) < 1e-9
+
+
 def test_every_query_with_sql_names_existing_views():
     import __spark_entry__ as spec
 
