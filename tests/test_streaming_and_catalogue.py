@@ -64,6 +64,7 @@ def test_late_readings_reach_the_healing_table_and_heal_to_the_batch_result(spar
 
 
 def test_domain_data_shows_every_branch():
+    import __spark_entry__  # noqa: F401, registers the queries
     from catalog.registry import SQL, compose
     from check import TABLES
 
