@@ -113,15 +113,7 @@ def _(spark, sf):
   UNION ALL SELECT f.fold, 'test' FROM v_sup0, (VALUES ('week-2', TIMESTAMP '2024-01-13', TIMESTAMP '2024-01-17 23:59:59'), ('week-3', TIMESTAMP '2024-01-19', TIMESTAMP '2024-01-23 23:59:59'), ('week-4', TIMESTAMP '2024-01-25', TIMESTAMP '2024-01-29 23:59:59')) f(fold, a, b)
     WHERE target_time BETWEEN a AND b) GROUP BY 1, 2""")
 def _(spark, sf):
-    sup = fr.supervised(spark, sf).select("issue_time", "target_time")
-    parts = []
-    for f in fr.JANUARY.folds:
-        parts.append(supervised.fold_train(sup, f.train_end, 24).select(F.lit(f.label).alias("fold"), F.lit("train").alias("side")))
-        parts.append(supervised.fold_test(sup, f.test_start, f.test_end).select(F.lit(f.label).alias("fold"), F.lit("test").alias("side")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("fold", "side").agg(F.count("*").alias("rows"))
+    return supervised.fold_counts(fr.supervised(spark, sf, columns=()), fr.JANUARY.folds, 24)
 
 
 @query("f5_minimum_rows", "station_id, i:horizon_h, i:n=count(*)", "FROM v_sup WHERE split = 'train' GROUP BY 1, 2 HAVING count(*) >= 200")
