@@ -142,10 +142,10 @@ def _(spark, sf):
     return out.select("station_id", "time", "metar_visibility_km", "metar_visibility_km_min")
 
 
-@query("j4_fire_load", f"{KEY}, d:fire_count_1h, d:fire_frp_1h, d:fire_count_24h, d:fire_frp_24h, d:fire_count_72h, fires_available", "FROM v_idx JOIN v_fire_series USING (time)")
+@query("j4_fire_load", f"{KEY}, d:fire_count_1h, d:fire_frp_1h, d:fire_count_24h, d:fire_frp_24h, d:fire_count_72h, fires_available", "FROM v_idx JOIN v_all_fire_series USING (time)")
 def _(spark, sf):
     p = fr.period(spark, sf)
-    return align.join_fires(align.hourly_index(fr.stations(spark, sf), *p), fr.fires(spark, sf), *p)
+    return align.join_fires(align.hourly_index(fr.stations(spark, sf), *p), fr.all_fires(spark, sf), *p)
 
 
 @query("j5_supervised", f"{SUP}, d:y, d:y_vis, d:obs_lag_1h, d:cams_pm2_5_tgt, d:met_wind_speed_10m_tgt", "FROM v_sup0")
@@ -386,9 +386,9 @@ def _(spark, sf):
     return f.select("station_id", "time", "vis_lag_1h", "vis_lag_3h", "vis_lag_24h", "vis_min_24h", "vis_mean_24h")
 
 
-@query("w4_trailing_sums", "t:time, d:fire_count_24h, d:fire_frp_24h, d:fire_count_72h", "FROM v_fire_series")
+@query("w4_trailing_sums", "t:time, d:fire_count_24h, d:fire_frp_24h, d:fire_count_72h", "FROM v_all_fire_series")
 def _(spark, sf):
-    return align.fire_series(fr.fires(spark, sf), *fr.period(spark, sf)).select("time", "fire_count_24h", "fire_frp_24h", "fire_count_72h")
+    return align.fire_series(fr.all_fires(spark, sf), *fr.period(spark, sf)).select("time", "fire_count_24h", "fire_frp_24h", "fire_count_72h")
 
 
 @query("w5_gap_hours", f"{KEY}, i:obs_gap_h, d:obs_delta_24h", "FROM v_features")
