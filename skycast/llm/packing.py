@@ -52,6 +52,9 @@ class Memo(dict):
         if suffix:
             self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.tails = {"": b""}
+        #: Ids of lower-case words, whatever marks stand behind them; kept by generations as the chunks are.
+        self.known: dict[str, bytes] = {}
+        self.known_old: dict[str, bytes] = {}
 
     def _others(self, chunks: list[str]) -> list[bytes]:
         """Any chunks: they come back as one sequence, each id with its chunk's number."""
@@ -78,28 +81,38 @@ class Memo(dict):
         if len(self) > REMEMBERED:
             self.old = dict(self)
             self.clear()
-        new = [c for c in chunks if c not in self]
-        self.update((c, self.old[c]) for c in new if c in self.old)
-        words: dict[str, int] = {}
-        forms: list[tuple[str, int, str]] = []
-        others = []
-        for c in new:
-            if c in self.old:
+        if len(self.known) > REMEMBERED:
+            self.known, self.known_old = {}, self.known
+        old = self.old
+        forms: list[str] = []
+        words: list[str] = []
+        behind: list[str] = []
+        others: list[str] = []
+        for c in chunks.difference(self):
+            if c in old:
+                self[c] = old[c]
                 continue
             k = c.rstrip(MARKS)
             if k.isalpha() and (k.isascii() or ("\u03a3" not in k and is_normalized("NFC", k) and k.lower().isalpha())):
-                forms.append((c, words.setdefault(k.lower(), len(words)), c[len(k) :]))
+                forms.append(c)
+                words.append(k.lower())
+                behind.append(c[len(k) :])
             else:
                 others.append(c)
         for k in range(0, len(others), 20_000):
             self.update(zip(others[k : k + 20_000], self._others(others[k : k + 20_000])))
-        unknown = list({t for _, _, t in forms}.difference(self.tails))
+        unknown = list(set(behind).difference(self.tails))
         if len(self.tails) + len(unknown) > REMEMBERED:
             self.tails = {"": b""}
-            unknown = list({t for _, _, t in forms if t})
+            unknown = list(set(filter(None, behind)))
         self.tails.update(zip(unknown, self._others(unknown)))
-        ids, tails = self._words(list(words)), self.tails
-        self.update((c, ids[w] + tails[t]) for c, w, t in forms)
+        known, before = self.known, self.known_old
+        first = set(words).difference(known)
+        fresh = first.difference(before)
+        known.update((w, before[w]) for w in first.difference(fresh))
+        known.update(zip(fresh, self._words(list(fresh))))
+        tails = self.tails
+        self.update(zip(forms, [known[w] + tails[t] if t else known[w] for w, t in zip(words, behind)]))
 
 
 def _memo(path: str) -> Memo:
