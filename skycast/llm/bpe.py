@@ -5,13 +5,17 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import zlib
 from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skycast.session import staged
+
 from .common import on_workers, read, text_of
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -19,9 +23,15 @@ RANKS = "byte_bpe_50k.tiktoken"
 CELLS = 1 << 16
 #: Distinct words that a task refers to before it starts a new dictionary.
 DICTIONARY = 400_000
+#: Bytes of references in a block of documents.
+BLOCK = 32_000_000
 #: Bytes of a word from which on a queue replaces the fold, whose work grows with the square of the length.
 LONG = 200
 NONE = 2**31 - 1
+#: Bytes up to which a word's borders fit in the bits of a long.
+BORDERS = 62
+#: Steps along the tree that stand in the plan by themselves; longer pieces take the loop behind them.
+STEPS = 8
 #: White space of the patterns' \s. Fixed values.
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
 
@@ -36,8 +46,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """``body`` of a value that is computed once. ``get`` would derive the type of the whole body for every row, ``array_max`` keeps it."""
+    return F.array_max(F.transform(F.array(value), body))
 
 
 def _cell(piece: bytes) -> int:
@@ -97,13 +107,113 @@ def merged(table: Column, word: Column) -> Column:
     return let(whole, lambda w: F.when(w != NONE, F.array(w)).otherwise(F.transform(folded, lambda x: rank_of(table, x))))
 
 
+def rank_tree(ranks: dict[bytes, int]) -> tuple[list[int], list[int], list[int]]:
+    """The ranks as a tree of bytes in three arrays: the child of node ``v`` by byte ``b`` is ``child[base[v] + b]``
+    where ``owner`` has ``v`` there. A piece's node is its rank; beginnings that are no pieces follow."""
+    nodes, rows = dict(ranks), {}
+    count = max(ranks.values()) + 1
+    for piece in ranks:
+        for k in range(2, len(piece) + 1):
+            if piece[:k] not in nodes:
+                nodes[piece[:k]] = count
+                count += 1
+            rows.setdefault(nodes[piece[: k - 1]], {})[piece[k - 1]] = nodes[piece[:k]]
+    base, owner, child = [0] * count, [-1] * (2 * count + 512), [-1] * (2 * count + 512)
+    low = 256
+    for v, row in sorted(rows.items(), key=lambda r: -len(r[1])):
+        head, *others = sorted(row)
+        at = low
+        while owner[at] >= 0 or any(owner[at - head + b] >= 0 for b in others):
+            at += 1
+        low = max(low, at if not others else at - 100)
+        base[v] = at - head
+        for b, c in row.items():
+            owner[base[v] + b], child[base[v] + b] = v, c
+    end = max((k for k, v in enumerate(owner) if v >= 0), default=0) + 1
+    return base, owner[:end], child[:end]
+
+
+def ranks_rise(ranks: dict[bytes, int]) -> bool:
+    """Whether the merges of any word come in the order of their ranks: each byte is a piece, and each longer piece comes of
+    the merges of lower rank and one of its own. Then no merge makes a pair of lower rank: such a pair is a piece whose
+    bytes the earlier merges would have joined already."""
+    if any(bytes([b]) not in ranks for b in range(256)) or not 0 <= max(ranks.values()) < 1 << 18 or len(set(ranks.values())) < len(ranks):
+        return False
+    return all(len(p) < 2 or len(merged_long(p, ranks, r)) == 2 for p, r in ranks.items())
+
+
+def merged_in_order(ranks: dict[bytes, int], word: Column) -> Column:
+    """As ``merged``, for words (bytes as integers) of at most BORDERS bytes, where ``ranks_rise``.
+
+    The tree gives every span of the word that is a piece. A fold over these spans by rank, leftmost first, merges a span
+    where it is two pieces by now; its state is a long with a bit for each border. Each table is bound once, since every
+    mention of a literal is a copy of its own in every task.
+    """
+    table = lambda values, kind="int": F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+    tree = [table(t) for t in rank_tree(ranks)]
+    single = table([ranks[bytes([b])] for b in range(256)])
+    pieces = max(ranks.values()) + 1
+    # By span, 64 * begin + end: its two borders, and all bits from the one to the other.
+    spans = [(k >> 6, k & 63) if k >> 6 < k & 63 <= BORDERS else None for k in range(4096)]
+    ends_ = [(1 << s[0]) + (1 << s[1]) if s else 0 for s in spans]
+    whole_ = [(2 << s[1]) - (1 << s[0]) if s else 0 for s in spans]
+    masks = [table(t, "bigint") for t in (ends_, whole_, [~w for w in whole_])]
+
+    def bound(tables: list[Column], body: Callable[..., Column], *got: Column) -> Column:
+        return let(tables[0], lambda t: bound(tables[1:], body, *got, t)) if tables else body(*got)
+
+    return bound([*tree, single, *masks], lambda *t: _folded(word, pieces, *t))
+
+
+def _folded(word: Column, pieces: int, base: Column, owner: Column, child: Column, bytes_: Column, ends: Column, whole: Column, outside: Column) -> Column:
+    def further(nodes: Column, n: Column) -> Column:  # from spans of n bytes to those of n + 1, by where they begin
+        def child_of(v: Column, i: Column) -> Column:
+            slot = F.get(base, v) + F.get(word, i + n)
+            return F.when(F.get(owner, slot) == v, F.get(child, slot))
+
+        return F.transform(nodes, child_of)
+
+    found = lambda nodes, n: F.transform(nodes, lambda v, i: v * 4096 + (i * 65 + n))
+
+    def longer(nodes: Column, known: Column) -> Column:
+        state = lambda v, a: F.struct(v.alias("v"), a.alias("a"))
+        step = lambda s, n: let(further(s["v"], n), lambda v: state(v, F.concat(s["a"], found(v, n + 1))))
+        loop = F.aggregate(F.sequence(F.lit(STEPS), F.size(word) - 1), state(nodes, known), step, lambda s: s["a"])
+        return F.when(F.exists(nodes, lambda v: v.isNotNull()) & (F.size(word) > STEPS), loop).otherwise(known)
+
+    def steps(n: int, nodes: Column, got: list[Column]) -> Column:
+        if n == STEPS:
+            return ids(longer(nodes, F.concat(*got)))
+        return let(further(nodes, F.lit(n)), lambda v: steps(n + 1, v, [*got, found(v, F.lit(n + 1))]))
+
+    def merge(borders: Column, span: Column) -> Column:
+        two = (F.bit_count(borders.bitwiseAND(F.get(whole, span))) == 3) & (borders.bitwiseAND(F.get(ends, span)) == F.get(ends, span))
+        return F.when(two, borders.bitwiseAND(F.get(outside, span)).bitwiseOR(F.get(ends, span))).otherwise(borders)
+
+    def ids(spans: Column) -> Column:
+        place = lambda c: c.bitwiseAND(F.lit(4095))
+        rank = lambda c: F.shiftright(c, 12)
+
+        def left(known: Column) -> Column:
+            folded = F.aggregate(F.transform(F.sort_array(known), place), F.lit(-1).cast("long"), merge)
+            single = F.transform(word, lambda b, i: F.get(bytes_, b) * 4096 + (i * 65 + 1))
+            stands = lambda m: lambda c: m.bitwiseAND(F.get(whole, place(c))) == F.get(ends, place(c))
+            by_place = lambda c: place(c).cast("long") * (1 << 20) + rank(c)
+            kept = let(folded, lambda m: F.filter(F.concat(single, known), stands(m)))
+            return F.transform(F.sort_array(F.transform(kept, by_place)), lambda c: c.bitwiseAND(F.lit((1 << 20) - 1)).cast("int"))
+
+        return let(F.filter(spans, lambda c: c < pieces * 4096), left)
+
+    return steps(1, F.transform(word, lambda b: F.get(bytes_, b)), [])
+
+
 def decoded(pieces: Column, ids: Column) -> Column:
     """The bytes of ids, one character per byte: the pieces of the ids one after the other."""
     return F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")
 
 
-def merged_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same merges for a long word, with the pairs in a queue by rank and place."""
+def merged_long(word: bytes, ranks: dict[bytes, int], below: int = NONE) -> list[int]:
+    """The same merges for a long word, with the pairs in a queue by rank and place; only those of a rank ``below`` the given one."""
     n = len(word)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the piece that begins here
     alive = [True] * n
@@ -112,7 +222,7 @@ def merged_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     def offer(i: int) -> None:
         if i >= 0 and after[i] < n:
             end = after[after[i]]
-            if (rank := ranks.get(word[i:end])) is not None:
+            if (rank := ranks.get(word[i:end], NONE)) < below:
                 heappush(queue, (rank, i, end))
 
     for i in range(n):
@@ -239,19 +349,180 @@ def _joined(finish: Callable[[int, bytes, bytes], tuple], names: list[str], type
     return run
 
 
-def _coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """Documents as rows in order: new words with their ids and decoded form, and documents with references to them."""
-    on_workers(docs.sparkSession)
-    pieces = [""] * (max(ranks.values(), default=-1) + 1)
-    for piece, rank in ranks.items():
-        pieces[rank] = piece.decode("latin-1")
-    vocabulary = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
-    stream = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(
-        _referred(pattern, docs.sparkSession.sparkContext.broadcast(ranks)), "starts boolean, word string, doc_id long, refs binary, long array<int>"
-    )
-    short = F.col("word").isNotNull() & F.col("long").isNull()
-    coded = stream.withColumn("ids", F.coalesce("long", let(rank_map(ranks), lambda table: F.when(short, merged(table, F.col("word"))))))
-    return coded.select("starts", "doc_id", "refs", "ids", decoded(vocabulary, F.col("ids")).alias("back"))
+def _packed(values) -> bytes:
+    """32-bit numbers, compressed by the planes of their bytes."""
+    import numpy as np
+
+    return zlib.compress(np.asarray(values, "<u4").view("u1").reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked(blob: bytes):
+    import numpy as np
+
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), "u1").reshape(4, -1).T).view("<u4").ravel()
+
+
+def _coding(numbers) -> bytes:
+    """Numbers of words, the frequent ones small: what is above the lowest byte, then the lowest bytes, those of the most frequent words first."""
+    import numpy as np
+
+    high, low = numbers >> 8, numbers.astype("u1")
+    head = _packed(high)
+    code = zlib.compressobj(6, zlib.DEFLATED, 15, 9, zlib.Z_HUFFMAN_ONLY)
+    return len(head).to_bytes(4, "little") + head + code.compress(np.concatenate([low[high == 0], low[high > 0]]).tobytes()) + code.flush()
+
+
+def _numbers(blob: bytes):
+    import numpy as np
+
+    end = 4 + int.from_bytes(blob[:4], "little")
+    high, low = _unpacked(blob[4:end]), np.frombuffer(zlib.decompress(blob[end:]), "u1")
+    out = high << 8
+    few = int((high == 0).sum())
+    out[high == 0] |= low[:few]
+    out[high > 0] |= low[few:]
+    return out
+
+
+def _dealt(pattern: str, shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of documents: a row with each block's references, and a row for each shard with the block's distinct words of that shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        split, part, blocks = Splitter(pattern), TaskContext.get().partitionId(), 0
+        docs: list[int | None] = []
+        refs: list[bytes] = []
+
+        def block() -> pa.RecordBatch:
+            split.chunks.clear(), split.refs.clear()
+            counts, flat = _packed([len(r) // 4 for r in refs]), np.frombuffer(b"".join(refs), "<u4")
+            refs.clear()
+            number = np.empty(len(split.new), "<u4")
+            sent: list[list[bytes]] = [[] for _ in range(shards)]
+            for k in np.argsort(-np.bincount(flat, minlength=len(number)), kind="stable").tolist():
+                raw = split.new[k].encode("utf-8", "replace")
+                own = sent[zlib.crc32(raw) % shards]
+                number[k] = len(own) * shards + zlib.crc32(raw) % shards  # by place and shard, so the frequent ones are small
+                own.append(raw)
+            name = (part << 24) + blocks
+            rows = [(name, None, docs, counts, _coding(number[flat]))]
+            rows += [(name, k, None, _packed([len(w) for w in ws]), zlib.compress(b"".join(ws), 6)) for k, ws in enumerate(sent) if ws]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(DEALT)], schema=DEALT)
+
+        size = 0
+        for b in batches:
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if len(split.refs) > DICTIONARY or len(split.chunks) > 2 * DICTIONARY or size > BLOCK:
+                    yield block()
+                    split.reset()
+                    docs.clear()
+                    blocks, size = blocks + 1, 0
+                docs.append(doc)
+                refs.append(split.words(text))
+                size += len(refs[-1])
+        if docs:
+            yield block()
+
+    return run
+
+
+def _distinct(shared) -> Callable[[pa.Table], pa.Table]:
+    """Of a shard's words: each distinct one as a row, then a row for each block with references to them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        import numpy as np
+
+        ranks, known = shared.value, {}
+        rows: list[tuple] = []
+        for name, shard, sizes, words in zip(*(table.column(c).to_pylist() for c in ("block", "shard", "sizes", "words"))):
+            text, ends = zlib.decompress(words), np.cumsum(_unpacked(sizes)).tolist()
+            own = [known.setdefault(text[i:j], len(known)) for i, j in zip([0, *ends], ends)]
+            rows.append((False, None, None, name, shard, np.asarray(own, "<u4").tobytes(), None))
+        first = []
+        for k, w in enumerate(known):
+            short = len(w) <= BORDERS
+            long = merged_long(w, ranks) if len(w) > LONG else None
+            first.append((k == 0, list(w) if short else None, None if short or long else w.decode("latin-1"), None, None, None, long))
+        rows = first + rows
+        return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(DISTINCT)], schema=DISTINCT)
+
+    return run
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each block and shard the ids of its words, in the order they were sent."""
+    import numpy as np
+
+    ids: list[bytes] = []
+    for b in batches:
+        out: list[tuple] = []
+        starts, blocks, shards, refs = (b.column(k).to_pylist() for k in range(4))
+        got = b.column(4)
+        flat = np.asarray(got.flatten(), "<u4").tobytes()
+        ends = ((np.asarray(got.offsets).astype(np.int64) - got.offsets[0].as_py()) * 4).tolist()
+        for k, r in enumerate(refs):
+            if r is None:
+                if starts[k]:
+                    ids = []
+                ids.append(flat[ends[k] : ends[k + 1]])
+            else:
+                own = [ids[n] for n in np.frombuffer(r, "<u4").tolist()]
+                out.append((blocks[k], shards[k], _packed([len(x) // 4 for x in own]), _packed(np.frombuffer(b"".join(own), "<u4"))))
+        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], f.type) for k, f in enumerate(ANSWERED)], schema=ANSWERED)
+
+
+def _finished(finish: Callable[[int, bytes, bytes], tuple], names: list[str], types: list[pa.DataType], shared, shards: int):
+    def run(own: pa.Table, answers: pa.Table) -> pa.Table:
+        import numpy as np
+
+        pieces = {rank: piece for piece, rank in shared.value.items()}
+        out: list[tuple] = []
+        ids: dict[int, bytes] = {}
+        back: dict[int, bytes] = {}
+        for shard, sizes, got in zip(*(answers.column(c).to_pylist() for c in ("shard", "sizes", "ids"))):
+            flat, ends = _unpacked(got), np.cumsum(_unpacked(sizes), dtype=np.int64).tolist()
+            raw, text = flat.tobytes(), [pieces[i] for i in flat.tolist()]
+            for n, (i, j) in enumerate(zip([0, *ends], ends)):
+                ids[n * shards + shard] = raw[4 * i : 4 * j]
+                back[n * shards + shard] = b"".join(text[i:j])
+        for docs, counts, refs in zip(*(own.column(c).to_pylist() for c in ("docs", "sizes", "words"))):
+            refs, at = _numbers(refs), 0
+            for doc, count in zip(docs, _unpacked(counts).tolist()):
+                mine = refs[at : at + count].tolist()
+                at += count
+                out.append(finish(doc, b"".join(map(ids.__getitem__, mine)), b"".join(map(back.__getitem__, mine))))
+        return pa.Table.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(types)], names)
+
+    return run
+
+
+DEALT = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("docs", pa.list_(pa.int64())), ("sizes", pa.binary()), ("words", pa.binary())])
+DISTINCT = pa.schema([("starts", pa.bool_()), ("bytes", pa.list_(pa.int32())), ("word", pa.string()), ("block", pa.int64()), ("shard", pa.int32()), ("refs", pa.binary()), ("long", pa.list_(pa.int32()))])
+ANSWERED = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("sizes", pa.binary()), ("ids", pa.binary())])
+
+
+def _coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish, names: list[str], types: list[pa.DataType], schema: str) -> DataFrame:
+    """Documents stay in blocks that send their distinct words to shards by hash. There each distinct word of the corpus is
+    folded once, and its ids go back to the blocks that have it."""
+    spark = docs.sparkSession
+    on_workers(spark)
+    shared = spark.sparkContext.broadcast(ranks)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    shards = 24 + texts.rdd.getNumPartitions() // 4
+    dealt = texts.mapInArrow(_dealt(pattern, shards), "block long, shard int, docs array<long>, sizes binary, words binary")
+    dealt = staged(dealt, "words")
+    sent = dealt.where("shard is not null").select("block", "shard", "sizes", "words").repartition(shards, "shard")
+    stream = sent.groupBy("shard").applyInArrow(_distinct(shared), "starts boolean, bytes array<int>, word string, block long, shard int, refs binary, long array<int>")
+    fold = let(rank_map(ranks), lambda table: F.when(F.col("word").isNotNull(), merged(table, F.col("word"))))
+    if ranks_rise(ranks):
+        fold = F.when(F.col("bytes").isNotNull(), merged_in_order(ranks, F.col("bytes"))).otherwise(fold)
+    else:
+        stream = stream.withColumn("word", F.coalesce("word", F.array_join(F.transform("bytes", lambda b: F.char(b)), "")))
+    coded = stream.select("starts", "block", "shard", "refs", F.coalesce("long", fold).alias("ids"))
+    answers = coded.mapInArrow(_answered, "block long, shard int, sizes binary, ids binary")
+    own = dealt.where("shard is null").select("block", "docs", "sizes", "words")
+    return own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_finished(finish, names, types, shared, shards), schema)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
@@ -265,8 +536,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     import numpy as np
 
     finish = lambda d, ids, back: (d, np.frombuffer(ids, "<u4").tolist(), back)
-    run = _joined(finish, ["doc_id", "ids", "decoded"], [pa.int64(), pa.list_(pa.int32()), pa.binary()])
-    return _coded(docs, ranks, pattern).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    types = [pa.int64(), pa.list_(pa.int32()), pa.binary()]
+    return _coded(docs, ranks, pattern, finish, ["doc_id", "ids", "decoded"], types, "doc_id long, ids array<int>, decoded binary")
 
 
 def decode(coded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -284,8 +555,8 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame
     def finish(doc: int, ids: bytes, back: bytes) -> tuple:
         return doc, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()
 
-    run = _joined(finish, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.int64(), pa.string(), pa.string()])
-    return _coded(docs, ranks, pattern).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    names, types = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.int64(), pa.string(), pa.string()]
+    return _coded(docs, ranks, pattern, finish, names, types, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op7_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
