@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import math
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,8 +59,8 @@ def _cells(axes: list[Column], size: float, spread: bool) -> Column:
     return out
 
 
-def pairs_within(left: DataFrame, right: DataFrame, radius_km: float) -> DataFrame:
-    """Every (left, right) pair at most ``radius_km`` apart, with ``km``.
+def pairs_within(left: DataFrame, right: DataFrame, radius_km: float, on: Sequence[str] = ()) -> DataFrame:
+    """Every (left, right) pair at most ``radius_km`` apart, with ``km``; with ``on`` only those equal in these columns.
 
     Left carries l_lat, l_lon and right carries r_lat, r_lon.
     """
@@ -66,7 +68,27 @@ def pairs_within(left: DataFrame, right: DataFrame, radius_km: float) -> DataFra
     a = left.withColumn("_cell", F.explode(_cells(_sphere(F.col("l_lat"), F.col("l_lon")), size, True)))
     b = right.withColumn("_cell", _cells(_sphere(F.col("r_lat"), F.col("r_lon")), size, False)[0])
     km = haversine_km(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon"))
-    return a.join(b, "_cell").drop("_cell").withColumn("km", km).where(F.col("km") <= radius_km)
+    return a.join(b, ["_cell", *on]).drop("_cell").withColumn("km", km).where(F.col("km") <= radius_km)
+
+
+#: Rows of a side that meet in one task of ``all_pairs``, about, and the parts a side is dealt into at most.
+SIDE, SIDES = 500, 32
+
+
+def all_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every left row with every right row.
+
+    Both sides are dealt into parts and each pair of parts meets in a task of its own, so what a task holds grows
+    with a side and not with the pairs, and no pair is ever shuffled. The number of tasks is given, since the few bytes that go
+    into them say nothing of the rows that come out.
+    """
+    parts = min(SIDES, 1 + left.count() // SIDE)
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        part = F.pmod(F.xxhash64(*df.columns), F.lit(parts)).cast("int")
+        return df.withColumn(own, part).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(parts * parts, "_i", "_j")
+
+    return dealt(left, "_i", "_j").join(dealt(right, "_j", "_i"), ["_i", "_j"]).drop("_i", "_j")
 
 
 def planar_pairs_within(left: DataFrame, right: DataFrame, radius_deg: float) -> DataFrame:
