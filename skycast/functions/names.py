@@ -123,3 +123,17 @@ def site_score(our_name: Column, our_agency: Column, their_name: Column) -> Colu
     clash = (F.size(na) > 0) & (F.size(nb) > 0) & ~F.arrays_overlap(na, nb)
     bonus = F.when(F.array_contains(theirs, F.lower(our_agency)), F.lit(0.05)).otherwise(F.lit(0.0))
     return F.when(~F.arrays_overlap(key_a, key_b) | clash, F.lit(0.0)).otherwise(_jaccard(key_a, key_b) + bonus)
+
+
+def meeting(name: Column, ours: bool) -> Column:
+    """Words by which a name of ours and one of theirs meet just where ``site_score`` is above 0.
+
+    Two names with numbers score if a number is in both, other pairs if any identifying word is. A word is marked by the case it
+    serves: n numbers of both, w words where ours alone has numbers, o words where ours has none.
+    """
+    known = words(name)
+    key, nums = F.array_except(known, _words(BOILERPLATE)), numbers(known)
+    mark = lambda c, m: F.transform(c, lambda w: F.concat(F.lit(m), w))
+    # ours with numbers meets theirs with (n) and without (w); ours without meets both by o
+    some = F.concat(mark(nums, "n"), mark(key, "w" if ours else "o"))
+    return F.when(F.size(nums) > 0, some).otherwise(mark(key, "o") if ours else F.concat(mark(key, "w"), mark(key, "o")))
