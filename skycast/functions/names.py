@@ -117,7 +117,11 @@ def match_score(ours: Column, theirs: Column) -> Column:
 
 def site_score(our_name: Column, our_agency: Column, their_name: Column) -> Column:
     """Jaccard of identifying words, 0 on a number clash, +0.05 when the agency is in their name."""
-    ours, theirs = words(our_name), words(their_name)
+    return word_score(words(our_name), our_agency, words(their_name))
+
+
+def word_score(ours: Column, our_agency: Column, theirs: Column) -> Column:
+    """As ``site_score``, of the words of both names."""
     key_a, key_b = F.array_except(ours, _words(BOILERPLATE)), F.array_except(theirs, _words(BOILERPLATE))
     na, nb = numbers(ours), numbers(theirs)
     clash = (F.size(na) > 0) & (F.size(nb) > 0) & ~F.arrays_overlap(na, nb)
@@ -125,13 +129,12 @@ def site_score(our_name: Column, our_agency: Column, their_name: Column) -> Colu
     return F.when(~F.arrays_overlap(key_a, key_b) | clash, F.lit(0.0)).otherwise(_jaccard(key_a, key_b) + bonus)
 
 
-def meeting(name: Column, ours: bool) -> Column:
-    """Words by which a name of ours and one of theirs meet just where ``site_score`` is above 0.
+def meeting(known: Column, ours: bool) -> Column:
+    """From the words of a name those by which ours and theirs meet just where ``word_score`` is above 0.
 
     Two names with numbers score if a number is in both, other pairs if any identifying word is. A word is marked by the case it
     serves: n numbers of both, w words where ours alone has numbers, o words where ours has none.
     """
-    known = words(name)
     key, nums = F.array_except(known, _words(BOILERPLATE)), numbers(known)
     mark = lambda c, m: F.transform(c, lambda w: F.concat(F.lit(m), w))
     # ours with numbers meets theirs with (n) and without (w); ours without meets both by o
