@@ -9,7 +9,6 @@ mean root value is the predicted residual.
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,8 +89,7 @@ def contributions(model, df: DataFrame, horizon: int, keys: list[str], quantile:
     spark = df.sparkSession
     steps, base = _steps(inner, horizon, spark, quantile)
     rows = inner.residuals(df.where(F.col("horizon_h") == horizon))
-    each = rows.select(*keys, F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
-    each = each.withColumn("leaf", F.col("leaf").cast("int"))
+    each = rows.select(*keys, F.posexplode("_res.leaf").alias("tree", "leaf"))
     # Bounded by trees x 2^depth x depth, fixed at fit time.
     out = each.join(F.broadcast(steps), ["tree", "leaf"]).groupBy(*keys, "feature").agg(F.sum("step").alias("contribution"))
     return out.withColumn("driver", driver_of(F.col("feature"))).withColumn("base_value", F.lit(float(base)))
